@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,8 @@ def line_fails(line: str, data: bytes, words: list[bytes]) -> bool:
     """Whether a line that has words breaks a rule.
 
     Punctuation: over 15 symbols in 100 characters of words, more than one "!" for two words, no letter, or under five words
-    and no final mark. Navigation: a fifth of the words or more are separators. Boilerplate: up to 40 words, with one of BOILERPLATE.
+    and no final mark. Navigation: a fifth of the words or more are separators. Boilerplate: up to 40 words, with one of
+    BOILERPLATE; or eight words or more, of which over a third equal the word before.
     """
     n = len(words)
     chars = len(line) - len(data) + len(data.translate(None, SPACES))
@@ -63,6 +65,8 @@ def line_fails(line: str, data: bytes, words: list[bytes]) -> bool:
         return True
     if n <= 40 and _SAYS.search(line.lower()):
         return True
+    if n >= 8 and 3 * sum(map(eq, words, words[1:])) > n:
+        return True
     return not any(map(str.isalpha, line))
 
 
