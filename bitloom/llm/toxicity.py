@@ -1,7 +1,7 @@
 """Operator 6, toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 McMahan and others, "Ad click prediction: a view from the trenches" (2013), gives the update: a learning rate for each coordinate
-and an L1 term that leaves most weights at exactly 0. Shards train apart from a common state; the state is averaged after each round.
+and an L1 term that leaves most weights at exactly 0.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ BITS = 18
 GAPS = (1, 2, 3)
 #: The classifier is fitted on at most so many labelled rows, those whose hashed ids are least.
 SAMPLE = 20_000
-SHARDS, ROUNDS = 8, 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+ROUNDS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.01
 _APART = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -97,41 +97,31 @@ def _train(texts: pd.Series, labels: np.ndarray, z: np.ndarray, n: np.ndarray) -
 def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Weights:
     """Weights learnt from the labelled rows of `docs` where `train` (over the ids of `labels`) is true.
 
-    At most `sample` labelled ids, the least by hash, so that a run over more data fits the same way; their rows are dealt to SHARDS
-    tasks. Ids or labels that are null are left out; an id with several labels has the greatest, one with several rows each of them.
+    At most `sample` labelled ids, the least by hash, so that a run over more data fits the same way. Their rows pass one after the
+    other, in the order of that hash, ROUNDS times; each pass is a task of its own that starts from the state before.
+    Ids or labels that are null are left out; an id with several labels has the greatest, one with several rows each of them.
     """
     chosen = labels.where(train & labels[doc_id].isNotNull() & labels[label].isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = settle(rows.withColumn("at", F.xxhash64("id", F.lit(1))).repartition(SHARDS, F.pmod("at", F.lit(SHARDS))).select("at", "id", "y", "text"))
-    rows = rows.sortWithinPartitions("at", "id", "text")
+    rows = settle(rows.withColumn("at", F.xxhash64("id", F.lit(1))).select("at", "id", "y", "text"))
+    rows = rows.repartition(1).sortWithinPartitions("at", "id", "text")
     end = 1 << BITS
-    z, n, trained = np.zeros(end + 1), np.zeros(end + 1), False
+    z, n = np.zeros(end + 1), np.zeros(end + 1)
     for _ in range(ROUNDS):
-        common = docs.sparkSession.sparkContext.broadcast((z, n))
+        before = docs.sparkSession.sparkContext.broadcast((z, n))
 
-        def shard(batches: Iterator[pd.DataFrame], common=common) -> Iterator[pd.DataFrame]:
-            z, n = (x.copy() for x in common.value)
-            seen = 0
+        def follow(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
+            z, n = (x.copy() for x in before.value)
             for rows in batches:
                 _train(rows["text"], rows["y"].to_numpy(np.float64), z, n)
-                seen += len(rows)
-            if seen:
-                used = np.flatnonzero(n)
-                yield pd.DataFrame({"at": used, "z": z[used], "n": n[used]})
-                yield pd.DataFrame({"at": [-1], "z": [0.0], "n": [0.0]})
-
-        got = rows.mapInPandas(shard, "at long, z double, n double").groupBy("at").agg(F.sum("z"), F.sum("n"), F.count("*")).collect()
-        common.unpersist()
-        shards = next((r[3] for r in got if r[0] < 0), 0)
-        if not shards:
-            break
-        trained = True
-        own = np.array([r[0] for r in got if r[0] >= 0])
-        # a coordinate that some shards have not met keeps what it had there
-        missing = shards - np.array([r[3] for r in got if r[0] >= 0])
-        z[own] = (np.array([r[1] for r in got if r[0] >= 0]) + missing * z[own]) / shards
-        n[own] = (np.array([r[2] for r in got if r[0] >= 0]) + missing * n[own]) / shards
+            used = np.flatnonzero(n)
+            yield pd.DataFrame({"at": used, "z": z[used], "n": n[used]})
+
+        state = rows.mapInPandas(follow, "at long, z double, n double").toPandas()
+        before.unpersist()
+        z[state["at"]], n[state["at"]] = state["z"], state["n"]
+    trained = bool(n[end])
     w = _weight(z, n)[:end]
     at = np.flatnonzero(w)
     return Weights(at, w[at].astype(np.float32), float(-z[end] / ((BETA + np.sqrt(n[end])) / ALPHA)), trained)
