@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, simhash, toxicity
-from .common import held_out, table
+from . import bpe, language, mixing, quality, simhash, toxicity, urls
+from .common import held_out, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: The filter rules of op8: verdict, then host and path.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = settle(mixing.keyed(docs).drop("text"))
+    found = mixing.mix(docs.drop("text"), rows=rows)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
