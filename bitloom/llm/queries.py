@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, simhash, toxicity, urls
+from . import bpe, language, lm, mixing, pieces, quality, search, simhash, toxicity, urls
 from .common import held_out, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,24 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(mixing.keyed(docs).drop("text"))
     found = mixing.mix(docs.drop("text"), rows=rows)
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs)).drop("text")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return search.top_k(docs, asked)

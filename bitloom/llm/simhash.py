@@ -163,15 +163,30 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of `df`.
+    """(doc_id, text_hash, fp, component_id) for every row of `df`.
 
     component_id: the smallest doc_id among all rows whose fingerprints a chain of links of up to 3 differing bits reaches, own row
     included; null only where all those doc_ids are null. Equal fingerprints are one node, so copies cost one row each and no pairs.
     Null and word-less texts have fingerprint 0 and link like any other. Repeated rows stay repeated. Other columns are not read.
     """
-    rows = settle(with_fingerprint(df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].alias("text")), "text").select("doc_id", "fp"))
+    read = df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
+    rows = settle(with_fingerprint(read, "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct.select("fp"), limit))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(member.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(member.join(named, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def one_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` that stand for their group of near-duplicates: of each, the row of the least doc_id, with all its columns.
+
+    A null doc_id stands only where its whole group has none; ties go to the least hash of the text, then to any of equal rows. Texts
+    move once, to meet the small table of those that stay.
+    """
+    found = near_duplicates(df, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.text_hash").alias("__hash"))
+    rows = df.withColumns({"__own_id": df[f"`{doc_id}`"], "__own_hash": F.xxhash64(df[f"`{text}`"].cast("string"))})
+    rows = rows.join(stay, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
+    return rows.dropDuplicates(["__own_id", "__own_hash"]).drop("__own_id", "__own_hash")

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, settle, with_results
 
-#: Hashed features; two words apart at most in a skip-gram's gap.
+#: Bits of a feature's number; distances of the two words of a pair: next to each other, or with one between.
 BITS = 18
-GAPS = (1, 2, 3)
+GAPS = (1, 2)
 #: The classifier is fitted on at most so many labelled rows, those whose hashed ids are least.
-SAMPLE = 20_000
-ROUNDS = 4
+SAMPLE = 12_000
+ROUNDS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.01
 _APART = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
