@@ -1 +1,6 @@
+"""The library's queries over the driver tables."""
 
+from . import merging, retrieval, semantic  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
