@@ -32,7 +32,7 @@ def code(vector: Column, bits: int) -> Column:
 
 
 def unpack(value: Column, bits: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(F.getbit(value, i) == 1, F.lit(1)).otherwise(F.lit(-1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(F.getbit(value.cast("long"), i) == 1, F.lit(1)).otherwise(F.lit(-1)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import discounts, harmonic
+from ..functions.series import discounts, harmonic, with_series, without_series
 
 CUTOFFS = (50, 100, 1000)
 KEYS = ("direction", "bits", "qid")
@@ -27,33 +27,32 @@ def ideal_gain(gains: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFram
     """(keys, ideal): the discounted sum of a query's k greatest gains; gains: (keys, gain, n), equal gains counted together."""
     w = Window.partitionBy(*keys).orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, -1)
     st = F.coalesce(F.sum("n").over(w), F.lit(0))
-    own = gains.withColumn("st", st).where(F.col("st") < k)
-    return own.groupBy(*keys).agg(F.sum(F.col("gain") * (discounts(F.col("st") + F.col("n"), k) - discounts(F.col("st"), k))).alias("ideal"))
+    own = with_series(gains.withColumn("st", st).where(F.col("st") < k).withColumn("upto", F.least(F.lit(k), F.col("st") + F.col("n"))))
+    return own.groupBy(*keys).agg(F.sum(F.col("gain") * (discounts(F.col("upto")) - discounts(F.col("st")))).alias("ideal"))
 
 
 def query_metrics(shells: DataFrame, cutoffs: Sequence[int] = CUTOFFS, keys: Sequence[str] = KEYS, order: Sequence[str] = ("r",)) -> DataFrame:
     """Of each query: relevant, ap, and p_k, r_k, ndcg_k, dcg_k (the expected gain sum, to be divided by the ideal) for each cut-off."""
-    run = running(shells, keys, order)
+    run = with_series(running(shells, keys, order))
     n, m, st, prev, total, rel = (F.col(c) for c in ("n", "m", "st", "prev", "total", "relevant"))
     h = harmonic(st + n) - harmonic(st)
     alpha = F.when(n > 1, (m - 1) / F.when(n > 1, n - 1)).otherwise(0.0)
     ap = F.when(m > 0, (m / n) * ((prev + 1) * h + alpha * (n - (st + 1) * h))).otherwise(0.0)
     sums: list[Column] = [F.first("relevant").alias("relevant"), F.first("total").alias("total"), F.sum(ap).alias("ap")]
-    most = max(cutoffs)
     for k in cutoffs:
         take = F.greatest(F.lit(0), F.least(n, F.least(F.lit(k), total) - st))
-        span = F.when(take > 0, discounts(st + take, most) - discounts(st, most)).otherwise(0.0)
+        span = F.when(take > 0, discounts(st + take) - discounts(st)).otherwise(0.0)
         sums += [F.sum(take * m / n).alias(f"hit_{k}"), F.sum(m / n * span).alias(f"cum_{k}"), F.sum(F.col("g") / n * span).alias(f"dcg_{k}")]
-    out = run.groupBy(*keys).agg(*sums)
+    out = with_series(run.groupBy(*keys).agg(*sums))
     some = F.col("relevant") > 0
     per = lambda x: F.when(some, x).otherwise(0.0)
     cols = {"ap": per(F.col("ap") / F.col("relevant"))}
     for k in cutoffs:
         cols |= {
             f"p_{k}": F.col(f"hit_{k}") / F.least(F.lit(k), "total"), f"r_{k}": per(F.col(f"hit_{k}") / F.col("relevant")),
-            f"ndcg_{k}": per(F.col(f"cum_{k}") / discounts(F.least(F.lit(k), "total", "relevant"), most)),
+            f"ndcg_{k}": per(F.col(f"cum_{k}") / discounts(F.least(F.lit(k), "total", "relevant"))),
         }
-    return out.withColumns(cols).drop(*(f"{x}_{k}" for x in ("hit", "cum") for k in cutoffs))
+    return without_series(out.withColumns(cols)).drop(*(f"{x}_{k}" for x in ("hit", "cum") for k in cutoffs))
 
 
 def means(per_query: DataFrame, *by: str) -> DataFrame:
@@ -65,7 +64,7 @@ def means(per_query: DataFrame, *by: str) -> DataFrame:
 
 
 def random_ap(total: Column, relevant: Column) -> Column:
-    """The expected AP of a random order of `total` rows, `relevant` of them relevant; null for a single row."""
+    """The expected AP of a random order of `total` rows, `relevant` of them relevant; null for a single row. Needs `with_series`."""
     h = harmonic(total)
     return F.when(total > 1, (h + (relevant - 1) / (total - 1) * (total - h)) / total)
 

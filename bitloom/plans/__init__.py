@@ -1,6 +1,6 @@
 """The library's queries over the driver tables."""
 
-from . import analysis, features, merging, retrieval, semantic  # noqa: F401
+from . import analysis, features, merging, provenance, retrieval, semantic, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import labels as L
+from ..functions.series import with_series
 from ..operators import metrics, rank
 from ..sources.items import codes, items, with_split
 from .registry import CODES, ITEMS, PAIRS, SERIES, query
@@ -192,7 +193,7 @@ def random_order_ap(spark, sf_dir):
     q, d = rank.directed(_coded(spark, sf_dir))
     same = d.groupBy("dbits", "ddirection", "dlabel").agg(F.count("*").alias("relevant"))
     t = t.join(q.select("direction", "bits", "qid", "qlabel"), ["direction", "bits", "qid"]).join(same.select(F.col("dbits").alias("bits"), F.col("ddirection").alias("direction"), F.col("dlabel").alias("qlabel"), "relevant"), ["direction", "bits", "qlabel"], "left")
-    return t.where("total > 1").select("direction", "bits", "qid", F.round(metrics.random_ap(F.col("total"), F.coalesce("relevant", F.lit(0))), 8).alias("random_ap"))
+    return with_series(t).where("total > 1").select("direction", "bits", "qid", F.round(metrics.random_ap(F.col("total"), F.coalesce("relevant", F.lit(0))), 8).alias("random_ap"))
 
 
 @query(f"WITH {PAIRS} SELECT direction, bits, round(avg(CASE WHEN qlabel = dlabel THEN r END), 8) AS mean_same, round(avg(CASE WHEN qlabel <> dlabel THEN r END), 8) AS mean_other, round(avg((qlabel = dlabel)::INTEGER), 8) AS positive_rate, round(avg(ln(1 + exp((bits - 2 * r) / 4.0::DOUBLE)) - CASE WHEN qlabel = dlabel THEN (bits - 2 * r) / 4.0::DOUBLE ELSE 0 END), 8) AS pair_nll FROM pairs GROUP BY ALL")
