@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import labels as L
 from ..functions.series import with_series
-from ..operators import metrics, rank
+from ..operators import codebook, metrics, rank
 from ..sources.items import codes, items, with_split
-from .registry import CODES, ITEMS, PAIRS, SERIES, query
+from .registry import CODES, ITEMS, ORACLES, PAIRS, SERIES, query
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,3 +246,13 @@ def distance_forms_agree(spark, sf_dir):
         return p.select("direction", "bits", ((F.col("r") != C.hamming_by_difference(F.col("qv"), F.col("dv"))) | (F.col("r") != C.hamming_by_product(F.col("qv"), F.col("dv"), bits))).cast("long").alias("differ"))
 
     return reduce(DataFrame.union, map(each, C.WIDTHS)).groupBy("direction", "bits").agg(F.count("*").alias("n_pairs"), F.sum("differ").alias("differ"))
+
+
+@query(
+    ORACLES["bit_statistics"].replace("SELECT bit::INTEGER AS bit, round(agreement, 8)", ", st AS (SELECT bit::INTEGER AS bit, round(agreement, 8)", 1)
+    + "), top AS (SELECT bit, row_number() OVER (ORDER BY score DESC, bit) - 1 AS place FROM st), k AS (SELECT c.id, c.modality, sum(((c.lo >> t.bit) & 1) << t.place) AS code FROM codes c, top t WHERE c.bits = 32 AND t.place < 16 GROUP BY ALL) SELECT id, modality, code::BIGINT AS code FROM k"
+)
+def detail_codes(spark, sf_dir, k=16):
+    """The k bits of greatest score of 32, kept in that order."""
+    bits = [r.bit for r in codebook.kept_bits(bit_statistics(spark, sf_dir), k).orderBy("place").collect()]  # k numbers
+    return _coded(spark, sf_dir).where("bits = 32").select("id", "modality", codebook.restrict(F.col("code"), bits).alias("code"))
