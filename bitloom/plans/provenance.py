@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha, unsigned_64
@@ -36,11 +35,11 @@ def json_pointers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.json_pointer(F.col("props"), "/k").alias("k"), "event_type")
 
 
-@query("SELECT c.conv_id, count(*) AS turns, list(role ORDER BY turn) AS roles, sum(length(text))::BIGINT AS chars FROM conversations c GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'user') AS asked, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def grouped_captions(spark, sf_dir):
-    """Texts grouped by their item, in order of their number."""
+    """Texts grouped by their item, in sums that tasks make first: no item's texts are gathered."""
     c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.sum(F.length("text")).alias("chars"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.count_if(F.col("role") == "user").alias("asked"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT p_type, list_sort(list(DISTINCT 'a photo of ' || lower(p_name))) [1:3] AS prompts, count(DISTINCT p_name) AS n FROM part GROUP BY p_type")
@@ -66,21 +65,20 @@ def identity_checks(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, sha256(concat_ws(chr(0), 'receipt', conv_id::VARCHAR, turn::VARCHAR, role)) AS receipt FROM conversations), "
-    "c AS (SELECT conv_id, 0::BIGINT AS k, repeat('0', 64) AS last FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT r.conv_id, r.k, sha256(c.last || r.receipt) FROM c JOIN r ON r.conv_id = c.conv_id AND r.k = c.k + 1) SELECT conv_id, max(k) AS n, arg_max(last, k) AS last FROM c GROUP BY conv_id"
+    "WITH RECURSIVE r AS (SELECT conv_id, turn // 64 AS chunk, row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) AS k, sha256(concat_ws(chr(0), 'receipt', conv_id::VARCHAR, turn::VARCHAR, role)) AS receipt FROM conversations), "
+    "c AS (SELECT conv_id, chunk, 0::BIGINT AS k, repeat('0', 64) AS last FROM (SELECT DISTINCT conv_id, chunk FROM r) UNION ALL SELECT r.conv_id, r.chunk, r.k, sha256(c.last || r.receipt) FROM c JOIN r ON r.conv_id = c.conv_id AND r.chunk = c.chunk AND r.k = c.k + 1) SELECT conv_id, chunk, max(k) AS n, arg_max(last, k) AS last FROM c GROUP BY ALL"
 )
 def receipt_chains(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return provenance.chains(c, "conv_id", "turn", sha("receipt", F.col("conv_id"), F.col("turn"), F.col("role")))
+    """A hash chain over each conversation's chunks of 64 turns."""
+    c = table(spark, sf_dir, "conversations").withColumn("chunk", F.expr("turn div 64"))
+    return provenance.chains(c, ["conv_id", "chunk"], "turn", sha("receipt", F.col("conv_id"), F.col("turn"), F.col("role")))
 
 
-@query("SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 - count(*) AS missing, count(*) - count(DISTINCT turn) AS repeated FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS missing, count(*) - count(DISTINCT turn) AS repeated FROM conversations GROUP BY conv_id")
 def frontier_contiguity(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    step = F.col("turn") - F.lag("turn").over(w)
-    c = c.select("conv_id", "turn", step.alias("step"))
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.coalesce("step", F.lit(1)) - 1).alias("missing"), F.count_if(F.col("step") == 0).alias("repeated"))
+    """Holes and repeats in each conversation's numbers, by counts."""
+    n = F.countDistinct("turn")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 - n).alias("missing"), (F.count("*") - n).alias("repeated"))
 
 
 @query()
