@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, search
-from .queries import ORACLES
+from . import quality, search, urls
+from .queries import ORACLES, URL_RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LIST = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -39,3 +39,37 @@ asked AS (SELECT doc_id AS query_id, w, idf, row_number() OVER (PARTITION BY doc
 scored AS (SELECT query_id, doc_id AS row_id, sum(idf * tf * ({search.K1} + 1) / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / mean))) AS score FROM asked JOIN tf USING (w), size WHERE k <= {search.TERMS} GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM scored)
 SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10"""
+
+_RULES = ", ".join(f"('{says}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for says, r in URL_RULES)
+
+
+def _orders() -> str:
+    """P of a symbol after contexts of 0 to 3 symbols, one CTE an order."""
+    out = "p0 AS (SELECT DISTINCT g, 1 / 32.0::DOUBLE AS py, 1 / 32.0::DOUBLE AS pn FROM grams)"
+    for k in range(1, 5):
+        out += f""",
+n{k} AS (SELECT right(g, {k}) AS gram, sum(yes) AS yes, sum(no) AS no FROM counts GROUP BY 1),
+x{k} AS (SELECT left(gram, {k - 1}) AS x, sum(yes) AS ya, count(*) FILTER (yes > 0) AS yk, sum(no) AS na, count(*) FILTER (no > 0) AS nk FROM n{k} GROUP BY 1),
+p{k} AS (SELECT g, CASE WHEN ya >= {urls.LEAST_SEEN} THEN (coalesce(yes, 0) + yk * py) / (ya + yk)::DOUBLE ELSE py END AS py, CASE WHEN na >= {urls.LEAST_SEEN} THEN (coalesce(no, 0) + nk * pn) / (na + nk)::DOUBLE ELSE pn END AS pn
+  FROM p{k - 1} LEFT JOIN x{k} ON x = left(right(g, {k}), {k - 1}) LEFT JOIN n{k} ON gram = right(g, {k}))"""
+    return out
+
+
+ORACLES["op8_url_filters"] = rf"""
+WITH pages_ AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+cut AS (SELECT DISTINCT u, CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM pages_),
+hosts AS (SELECT u, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM cut),
+urls AS (SELECT u, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM hosts),
+rules(says, rule, rhost, rpath) AS (VALUES {_RULES}),
+ruled AS (SELECT u, arg_max(rule, (length(rule), rule)) AS rule, arg_max(says, (length(rule), rule)) AS says FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY u),
+marked AS (SELECT urls.*, rule, says FROM urls LEFT JOIN ruled USING (u)),
+sym AS (SELECT u, says, '^^^' || regexp_replace(translate(lower(regexp_replace(u, '^[^:/?#]*://', '')), '123456789', '000000000'), '[^a-z0/.\-]', '~', 'g') || '^' AS s FROM marked),
+grams AS (SELECT u, says, substr(s, i - 3, 4) AS g FROM (SELECT *, unnest(range(4, length(s) + 1)) AS i FROM sym)),
+counts AS (SELECT g, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM grams WHERE says IS NOT NULL GROUP BY g),
+{_orders()},
+scored AS (SELECT u, says, floor(sum(round((ln(py) - ln(pn)) * {urls.UNIT})::BIGINT) * 1000 / count(*) / {urls.UNIT})::BIGINT AS score FROM grams JOIN p4 USING (g) GROUP BY u, says),
+bins AS (SELECT greatest(-20000, least(20000, score)) AS bin, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM scored WHERE says IS NOT NULL GROUP BY 1),
+total AS (SELECT sum(yes) AS a, sum(no) AS r FROM bins),
+run AS (SELECT bin, sum(yes) OVER (ORDER BY bin) - yes AS missed, r - (sum(no) OVER (ORDER BY bin) - no) AS passed, a, r FROM bins, total),
+limits AS (SELECT (SELECT bin FROM run WHERE a > 0 AND r > 0 ORDER BY missed / a + passed / r, bin LIMIT 1) AS threshold)
+SELECT page_id, host, path, rule, coalesce(m.says, CASE WHEN threshold IS NULL OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score FROM pages_ JOIN marked m USING (u) JOIN scored USING (u), limits"""
