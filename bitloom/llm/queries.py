@@ -77,7 +77,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs)).drop("text")
+    rows, words = lm.tokenized(docs)
+    return lm.score(rows, lm.fit(rows, words))
 
 
 @query
