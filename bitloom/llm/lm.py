@@ -2,6 +2,7 @@
 
 The network sees two tokens on either side, sums their embeddings (one table for each place), applies tanh, and predicts the token
 between by a walk down a Huffman tree of the vocabulary; a text's score is the sum of all its tokens' conditional log-probabilities.
+A word beyond the vocabulary has its bucket's probability times its own share of the bucket's words.
 Training is data-parallel: in each round every task trains on masked places of its own documents from the common parameters, and
 Spark averages the tasks' parameters row by row, weighted by places.
 """
@@ -18,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import settle, with_results
 
@@ -169,21 +169,41 @@ class Network:
 
 
 def tokenized(df: DataFrame, text: str = "text") -> tuple[DataFrame, Vocabulary]:
-    """`df` with `tokens` (two bytes each) in place of the text, in a checkpoint, and the vocabulary of all its words.
+    """`df` with `tokens` in place of the text, in a checkpoint, and the vocabulary of all its words.
 
-    Training and scoring pass over this table: a text is cut into words twice, for the counts and here. Null texts have no tokens.
+    `tokens` has `cut`, the token numbers (two bytes each), and `within`, the sum of log P(word | bucket) over words in buckets. Training and scoring pass over this table: a text is cut into words twice, for the counts and here. Null texts have no tokens.
     """
-    v = vocabulary(word_counts(df, text))
+    counts = settle(word_counts(df, text))
+    v = vocabulary(counts)
     common = df.sparkSession.sparkContext.broadcast(v)
 
-    @F.pandas_udf(T.BinaryType())
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        numbers = _Numbers(common.value.index).__getitem__
+    @F.pandas_udf("cut binary, words array<binary>, ns array<long>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = common.value.index
+        numbers = _Numbers(index).__getitem__
         for texts in batches:
-            yield pd.Series([np.fromiter(map(numbers, words_of(t)), np.uint16).tobytes() for t in texts], dtype=object)
+            out = []
+            for t in texts:
+                words = words_of(t)
+                rare = Counter(w for w in words if w not in index)
+                out.append((np.fromiter(map(numbers, words), np.uint16).tobytes(), list(rare.keys()), list(rare.values())))
+            yield pd.DataFrame(out, columns=["cut", "words", "ns"])
 
     kept = [f"`{c}`" for c in df.columns if c != text and c.lower() != "tokens"]
-    return settle(df.select(*kept, cut(df[f"`{text}`"].cast("string")).alias("tokens"))), v
+    rows = settle(df.select(*kept, cut(df[f"`{text}`"].cast("string")).alias("tokens"), F.monotonically_increasing_id().alias("__row")))
+    own = rows.select("__row", F.explode(F.arrays_zip("tokens.words", "tokens.ns")).alias("w")).select("__row", F.col("w.words").alias("word"), F.col("w.ns").alias("times"))
+    part = own.join(within_buckets(counts, v), "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.col("times") * F.col("log_share"))).alias("logs"))
+    part = part.select("__row", F.aggregate("logs", F.lit(0.0), lambda a, x: a + x).alias("within"))  # in one order: equal texts get equal sums
+    tokens = F.struct(F.col("tokens.cut").alias("cut"), F.coalesce("within", F.lit(0.0)).alias("within")).alias("tokens")
+    return settle(rows.join(part, "__row", "left").select(*kept, tokens)), v
+
+
+def within_buckets(counts: DataFrame, v: Vocabulary) -> DataFrame:
+    """(word, log_share) for each word that the vocabulary lacks: the logarithm of its share of its bucket's words."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in v.index], "word binary")
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 def fit(rows: DataFrame, v: Vocabulary) -> Network:
@@ -202,7 +222,7 @@ def fit(rows: DataFrame, v: Vocabulary) -> Network:
             memory = np.zeros_like(own.table)
             seen = 0
             for batch in batches:
-                for some in runs(batch["tokens"].to_list()):
+                for some in runs(batch["cut"].to_list()):
                     tokens, _ = padded(some)
                     at = np.flatnonzero(tokens != _PAD)
                     at = at[((tokens[at] * 2654435761 + tokens[at - 1] * 40503 + at) >> 3) % MASK == round_]
@@ -213,7 +233,7 @@ def fit(rows: DataFrame, v: Vocabulary) -> Network:
                 yield pd.DataFrame((own.table[used] - common.value[1][used]).astype(np.float64) * seen, columns=names).assign(at=used, n=seen)
 
         schema = ", ".join(f"{x} double" for x in names) + ", at long, n long"
-        own = rows.select("tokens").mapInPandas(shard, schema).groupBy("at").agg(*(F.sum(x).alias(x) for x in names), F.sum("n").alias("n")).toPandas()
+        own = rows.select("tokens.cut").mapInPandas(shard, schema).groupBy("at").agg(*(F.sum(x).alias(x) for x in names), F.sum("n").alias("n")).toPandas()
         common.unpersist()
         # a row moves by the mean over the places of the tasks that met it
         network.table[own["at"].to_numpy(np.int64)] += (own[names].to_numpy() / own["n"].to_numpy()[:, None]).astype(np.float32)
@@ -242,5 +262,5 @@ def score(rows: DataFrame, network: Network) -> DataFrame:
 
     taken = {*names, "mean_log_likelihood", "tokens"}
     rows = rows.select(*(f"`{c}`" for c in rows.columns if c.lower() not in taken or c == "tokens"))
-    out = with_results(rows, scored("tokens"), names)
+    out = with_results(rows, scored("tokens.cut"), names).withColumn("log_likelihood", F.col("log_likelihood") + F.col("tokens.within"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop("tokens")

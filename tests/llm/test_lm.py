@@ -1,3 +1,5 @@
+from zlib import crc32
+
 import numpy as np
 
 from bitloom.llm import lm
@@ -55,3 +57,21 @@ def test_word_counts_cover_all_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sum(len(lm.words_of(r.text)) for r in docs.select("text").collect())
     assert lm.word_counts(docs, flush=100).groupBy().sum("n").first()[0] == want
+
+
+def test_words_of_a_bucket_have_their_own_probabilities(spark):
+    known = " ".join(f"known{i} known{i} known{i}" for i in range(lm.WORDS))
+    rare = [f"rare{i}" for i in range(400)]
+    bucket = [w for w in rare if crc32(w.encode()) % lm.BUCKETS == 5]
+    twice, once = bucket[:2]
+    rows = [(0, known, None), (1, " ".join([*rare, twice]), None), (2, twice, None), (3, once, None), (4, once, None)]
+    tokens, v = lm.tokenized(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    by = {r.doc_id: r.log_likelihood for r in lm.score(tokens, lm.Network(v)).collect()}
+    total = len(bucket) + 4  # beside the list: twice, twice, once, once
+    # nothing is learnt: the network gives all tokens of a bucket the same
+    level = np.log(3 / total)
+    assert abs(by[2] - level - (by[3] - level)) < 1e-9 and by[3] == by[4]
+    net = lm.Network(v).log_probabilities(np.array([0, 0, 1 + len(v.index) + 5, 0, 0]), np.array([2]))[0]
+    assert abs(by[2] - net - level) < 1e-5
+    within = {r.word: np.exp(r.log_share) for r in lm.within_buckets(lm.word_counts(spark.createDataFrame(rows, SCHEMA)), v).collect()}
+    assert set(map(bytes, within)) == {w.encode() for w in rare} and abs(sum(within.values()) - len({crc32(w.encode()) % lm.BUCKETS for w in rare})) < 1e-9
