@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import settle, with_results
 
 #: Words of the vocabulary; buckets for all others, by hash; values of an embedding; places of the window.
-WORDS, BUCKETS, DIM, PLACES = 1983, 64, 8, (-2, -1, 1, 2)
-#: A round masks the places whose hash leaves its number modulo MASK: each is a sixteenth of every text.
+WORDS, BUCKETS, DIM, PLACES = 1983, 64, 16, (-2, -1, 1, 2)
+#: Places are dealt to MASK parts by a hash; each round masks every ROUNDS-th part, so that all rounds together mask each place once.
 ROUNDS, MASK = 2, 16
 RATE, BATCH, CHUNK = 0.2, 1024, 40_000
 _PAD = 0  # the token beyond a text's ends
@@ -206,8 +206,13 @@ def within_buckets(counts: DataFrame, v: Vocabulary) -> DataFrame:
     return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
+def masked(tokens: np.ndarray, at: np.ndarray, round_: int) -> np.ndarray:
+    """Which of the places `at` a round masks: each is masked in one of ROUNDS rounds."""
+    return ((tokens[at] * 2654435761 + tokens[at - 1] * 40503 + at) >> 3) % MASK % ROUNDS == round_
+
+
 def fit(rows: DataFrame, v: Vocabulary) -> Network:
-    """A network trained on all of `rows` (tokens): in each of ROUNDS rounds a sixteenth of every text's places.
+    """A network trained on all of `rows` (tokens): each place of every text in one of ROUNDS rounds.
 
     What tasks send grows with the input, at most a table of parameters each; sums by parameter row go over a shuffle, and the driver
     gets one such table. An empty table gives a network with its first parameters.
@@ -225,7 +230,7 @@ def fit(rows: DataFrame, v: Vocabulary) -> Network:
                 for some in runs(batch["cut"].to_list()):
                     tokens, _ = padded(some)
                     at = np.flatnonzero(tokens != _PAD)
-                    at = at[((tokens[at] * 2654435761 + tokens[at - 1] * 40503 + at) >> 3) % MASK == round_]
+                    at = at[masked(tokens, at, round_)]
                     own.train(tokens, at, memory)
                     seen += len(at)
             if seen:

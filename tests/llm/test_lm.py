@@ -75,3 +75,11 @@ def test_words_of_a_bucket_have_their_own_probabilities(spark):
     assert abs(by[2] - net - level) < 1e-5
     within = {r.word: np.exp(r.log_share) for r in lm.within_buckets(lm.word_counts(spark.createDataFrame(rows, SCHEMA)), v).collect()}
     assert set(map(bytes, within)) == {w.encode() for w in rare} and abs(sum(within.values()) - len({crc32(w.encode()) % lm.BUCKETS for w in rare})) < 1e-9
+
+
+def test_rounds_train_each_place_once():
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([[0, 0], rng.integers(1, 2000, 5000), [0, 0]])
+    at = np.arange(2, 5002)
+    times = sum(lm.masked(tokens, at, r).astype(int) for r in range(lm.ROUNDS))
+    assert (times == 1).all() and lm.DIM >= 16
