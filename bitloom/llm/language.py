@@ -85,7 +85,8 @@ def viterbi(scores: np.ndarray, cuts: np.ndarray, switch: float) -> np.ndarray:
 
     All texts advance together, a word a step; those that have ended drop out.
     """
-    labels = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(-max(1, scores.shape[1]))  # signed, and wide enough for all labels
+    labels = np.zeros(len(scores), kind)
     sizes = np.diff(cuts)
     order = np.argsort(-sizes, kind="stable")
     sizes, begin = sizes[order], cuts[:-1][order]
@@ -93,8 +94,8 @@ def viterbi(scores: np.ndarray, cuts: np.ndarray, switch: float) -> np.ndarray:
     if not steps:
         return labels
     active = np.searchsorted(-sizes, -np.arange(steps), "left")
-    back = np.zeros(scores.shape, np.int8)
-    same = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, kind)
+    same = np.arange(scores.shape[1], dtype=kind)
     best = scores[begin[: active[0]]].copy()
     for t in range(1, steps):
         own = best[: active[t]]

@@ -53,3 +53,10 @@ def test_fold(spark):
 
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_viterbi_tells_200_labels_apart():
+    scores = np.zeros((40, 200))
+    want = np.repeat([199, 128, 127, 5], 10)
+    scores[np.arange(40), want] = 9.0
+    assert language.viterbi(scores, np.array([0, 15, 40]), 2.0).tolist() == want.tolist()
