@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column `name`, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str) -> str:
+    """A working name that no user's column has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def held_out(doc_id: Column, mod: int = 4, rest: int = 2) -> Column:
     """True where crc32 of the id's text leaves `rest`; a null id counts as the empty text (crc 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
@@ -25,9 +35,9 @@ def held_out(doc_id: Column, mod: int = 4, rest: int = 2) -> Column:
 
 def with_results(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     """`df` with the fields `names` of the struct `result`; an input column of such a name (in any case) is replaced."""
-    whole = f"__r_{uuid.uuid4().hex}"
+    whole = fresh("r")
     taken = {n.lower() for n in names}
-    kept = [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
+    kept = [quoted(c) for c in df.columns if c.lower() not in taken]
     return df.withColumn(whole, result).select(*kept, *(F.col(whole)[n].alias(n) for n in names))
 
 
@@ -45,13 +55,14 @@ def blocks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[pd.Series]:
 def settle(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a checkpoint in the shared folder.
 
-    The cluster names that folder in spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine serves.
+    That folder is the context's own, or the one the cluster names in spark.checkpoint.dir. Where neither is set, a local master, as in
+    tests, gets a folder of this machine; on a cluster that is an error, as executors don't see each other's disks. Spark removes a
+    checkpoint that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/bitloom"
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file:///tmp/checkpoints/bitloom")
     return df.checkpoint()
-
-
-Batches = Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]

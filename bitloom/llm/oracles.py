@@ -35,8 +35,8 @@ docs AS (SELECT doc_id, [x FOR x IN ws IF x <> ''] AS ws FROM words),
 size AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM docs),
 tf AS (SELECT doc_id, len(ws) AS length, w, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS w FROM docs) GROUP BY ALL),
 idf AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, size GROUP BY w, n),
-asked AS (SELECT doc_id AS query_id, w, idf, row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, w) AS k FROM tf JOIN idf USING (w) WHERE doc_id % 20 = 0),
-scored AS (SELECT query_id, doc_id AS row_id, sum(idf * tf * ({search.K1} + 1) / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / mean))) AS score FROM asked JOIN tf USING (w), size WHERE k <= {search.TERMS} GROUP BY ALL),
+asked AS (SELECT doc_id AS query_id, w, idf FROM tf JOIN idf USING (w) WHERE doc_id % 20 = 0),
+scored AS (SELECT query_id, doc_id AS row_id, sum(idf * tf * ({search.K1} + 1) / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / mean))) AS score FROM asked JOIN tf USING (w), size GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM scored)
 SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10"""
 
