@@ -1,10 +1,13 @@
 """Operator 10, byte-level BPE: shared chunks are encoded once, and their joins are repaired.
 
 A text is cut where a rolling hash of its last bytes says so, hence equal passages are cut alike wherever they stand. A chunk is
-encoded alone, once for a cache that the texts of a task share. Where chunks meet, the tokens after the last safe place of the left
-one and before the first of the right one are taken back, and that stretch of text is encoded anew; the tokens kept must end and
-begin at those places exactly, else the stretch grows over the chunk. A place between an ASCII character and a space is safe: the
-vocabulary's pattern never spans it and looks across it from neither side.
+encoded alone, once for a cache that the texts of a task share. Where chunks meet, the tokens after the left one's last sure boundary
+and before the right one's first are taken back, and that stretch of text is encoded anew. The chunk's own tokens must end and begin at
+those boundaries exactly; where they don't, or a chunk has none, the stretch grows over the chunk to the next boundary that agrees.
+
+A boundary is sure where the kind of character changes in a way that the vocabulary's pattern always cuts at, whatever stands around:
+after a letter that no letter follows, after a digit that no digit follows, and after a mark (but an apostrophe) that a letter, a digit
+or white space follows. Scripts without spaces have such places at every mark of punctuation.
 """
 
 from __future__ import annotations
@@ -15,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import quoted
+
 #: Bytes in the rolling window, bits of its hash that must be 0 at a cut, least bytes in a chunk, and characters that a cache holds.
 WINDOW_STEPS, CUT_BITS, LEAST, CACHE = 4, 8, 64, 24_000_000
 #: Fixed value: the pattern of byte-level pre-tokenisers of this kind, which the tokenizer file only names.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SAFE = re.compile(rb"(?<=[!-~]) ")
+_KINDS = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])"
+_FIRST, _LAST = regex.compile(_KINDS), regex.compile(f"(?r)(?:{_KINDS})")
 
 
 def _bytes_of() -> dict[str, int]:
@@ -52,7 +59,9 @@ class Codec:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[bytes, tuple[int, list[int], int]] = {}
+        self.older = self.cache  # what the cache held when it was last full
         self.cached = self.hits = 0
+        self.read = self.encoded = 0  # bytes of texts, and bytes given to the encoder
 
     def cuts(self, data: bytes) -> list[int]:
         """The chunks' ends."""
@@ -72,15 +81,25 @@ class Codec:
         ends.append(len(b))
         return ends
 
+    def anew(self, data: bytes) -> list[int]:
+        self.encoded += len(data)
+        return self.core.encode_ordinary(data.decode())
+
     def chunk(self, data: bytes) -> tuple[int, list[int], int]:
-        """Of a chunk: its bytes before the first safe place, the ids from there to the last one, the bytes after; -1: no safe place."""
-        if (known := self.cache.get(data)) is not None:
+        """Of a chunk: its bytes before the first sure boundary, the ids from there to the last one, the bytes after; -1: none."""
+        if known := self.cache.get(data):
             self.hits += 1
             return known
-        ids = self.core.encode_ordinary(data.decode())
+        if known := self.older.get(data):
+            self.hits += 1
+            self.cache[data] = known
+            self.cached += len(data)
+            return known
+        text = data.decode()
+        ids = self.anew(data)
         out = (-1, ids, -1)
-        if safe := _SAFE.search(data):
-            head, tail = safe.start(), len(data) - data_last(data)
+        if first := _FIRST.search(text):
+            head, tail = len(text[: first.start()].encode()), len(text[_LAST.search(text).start() :].encode())
             a = b = n = m = 0
             while n < head:
                 n += len(self.bytes[ids[a]])
@@ -88,11 +107,10 @@ class Codec:
             while m < tail:
                 b += 1
                 m += len(self.bytes[ids[-b]])
-            if n == head and m == tail:  # the tokens agree with the places
+            if n == head and m == tail:  # the tokens agree with the boundaries
                 out = (head, ids[a : len(ids) - b], tail)
         if self.cached > CACHE:
-            self.cache.clear()
-            self.cached = 0
+            self.cache, self.older, self.cached = {}, self.cache, 0
         self.cache[data] = out
         self.cached += len(data)
         return out
@@ -100,16 +118,17 @@ class Codec:
     def section(self, text: str) -> list[int]:
         """The ids of a text without special tokens."""
         data, out, open_from, start = text.encode(), [], 0, 0
+        self.read += len(data)
         for end in self.cuts(data):
             head, ids, tail = self.chunk(data[start:end])
             if head >= 0:
                 if start + head > open_from:
-                    out += self.core.encode_ordinary(data[open_from : start + head].decode())
+                    out += self.anew(data[open_from : start + head])
                 out += ids
                 open_from = end - tail
             start = end
         if open_from < len(data):
-            out += self.core.encode_ordinary(data[open_from:].decode())
+            out += self.anew(data[open_from:])
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -126,23 +145,16 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def data_last(data: bytes) -> int:
-    """Where the last safe place of `data` is; it has one."""
-    at = data.rfind(b" ")
-    while at > 0 and not 0x21 <= data[at - 1] <= 0x7E:
-        at = data.rfind(b" ", 0, at)
-    return at
-
-
 def tokens(df: DataFrame, path: str, text: str = "text", decode: bool = True, rows: int = 256) -> DataFrame:
     """`df` with `ids` (array<int>), those of each whole text, and `decoded`, the text that the ids give back.
 
     A map over rows; each task loads the tokenizer file at `path`, which its machine must have, and keeps a bounded cache of chunks.
-    Null text: no ids, decoded "". Special tokens' strings in a text become their ids, as the library has it by default. Input
-    columns named as a result are replaced; repeated rows get equal results. Results leave in batches of `rows`.
+    Null and empty texts: no ids, decoded "". Very long texts are encoded whole, chunk by chunk. Special tokens' strings in a text
+    become their ids, as the library has it by default. Input columns named as a result are replaced; repeated rows get equal results;
+    an empty table gives an empty one. Results leave in batches of `rows`.
     """
     names = ["ids"] + ["decoded"] * decode
-    df = df.select(*(f"`{c}`" for c in df.columns if c.lower() not in names))
+    df = df.select(*(quoted(c) for c in df.columns if c.lower() not in names))
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode)
 

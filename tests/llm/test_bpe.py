@@ -26,6 +26,36 @@ def test_ids_equal_the_library_on_odd_texts(library):
     assert codec.hits
 
 
+def test_scripts_without_spaces_are_reused(library):
+    rng = random.Random(2)
+    sentence = lambda chars, mark: "".join(rng.choices(chars, k=rng.randint(5, 25))) + mark
+    for chars, mark in (("的一是不了人我在有他这中大来上国", "。"), ("あいうえおかきくけこさしすせそ", "、"), ("abcdefgh", ";"), ("0123456789", ",")):
+        passage = "".join(sentence(chars, mark) for _ in range(200))
+        texts = [sentence(chars, mark) + passage + sentence(chars, mark) for _ in range(12)]
+        codec = bpe.Codec(PATH)
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert codec.encode(text) == want.ids
+        assert codec.encoded < 0.6 * codec.read and codec.hits
+
+
+def test_texts_of_one_word_are_whole(library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("的一是不了人我在有他", k=3000)), "".join(rng.choices("abcdefg", k=5000)), "'" * 500, "\n" * 700 + "x", "can't" * 300]
+    codec = bpe.Codec(PATH)
+    for text in texts:
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_cache_keeps_what_is_used(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3000)
+    codec, rng = bpe.Codec(PATH), random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) + ". "
+    common = "".join(line() for _ in range(4))
+    for _ in range(30):
+        codec.encode(common + line())
+    assert codec.hits > 60 and codec.cached <= 3000 + len(common)
+
+
 def test_rows(spark):
     rows = [(1, None, None), (2, "", "x"), (None, "two words", "y"), (3, "<|endoftext|> a", "y"), (3, "<|endoftext|> a", "y"), (4, "long text " * 40_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, IDS string")
