@@ -1,24 +1,28 @@
 """Operator 9, mixing to target weights: iterative proportional fitting, then sampling by the calibrated probabilities.
 
-DataFrame operations alone. Token counts are summed into cells of (source, language, topic); raking runs on the cells, with one
-window for each margin, as a cell carries its margins' targets. Documents meet their cell's probability in one join.
+DataFrame operations alone. Token counts are summed into cells of (source, language, topic), and raking runs on the cells. A cell's
+probability is its rake factor or 1, whichever is less, and the bound is part of the fitting: a round compares the tokens expected
+under it with every margin's targets. A value cannot give more tokens than it has, so targets are first filled up to that. Documents meet
+their cell's probability in one join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fresh, quoted, settle
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A margin's target shares are its token shares to this power, made to sum to 1: 1 keeps them, 0 makes them equal.
 TEMPERATURES = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Expected tokens kept, as a share of all.
 BUDGET = 0.4
-TOLERANCE, PER_STEP, STEPS = 1e-6, 4, 15
-#: Up to so many cells are broadcast; more are joined by a shuffle.
-BROADCAST_CELLS = 50_000
+TOLERANCE, PER_STEP, STEPS = 1e-5, 6, 12
+#: Up to so many cells are broadcast, and their margins summed by windows; more are joined and grouped by shuffles.
+FEW_CELLS = 50_000
 SEED = 9
 
 
@@ -44,64 +48,89 @@ def _key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
-def _with_targets(cells: DataFrame, temperatures: dict[str, float], targets: dict[str, dict[str, float]] | None) -> DataFrame:
+def wanted(cells: DataFrame, budget: float, temperatures: dict[str, float], targets: dict[str, dict[str, float]] | None, small: bool) -> DataFrame:
+    """(dimension, value, t, want) of each margin's values: the tokens that there are and those wanted, `budget` of all in each dimension.
+
+    Shares come from `targets`, or from token shares and `temperatures`. A value of which more is wanted than there is gives all it has,
+    and the others of its dimension rise in proportion. Values without a share are not wanted.
+    """
+    out = None
     for d in DIMENSIONS:
-        share = F.col("t")
-        margin = cells.groupBy(d).agg(F.sum("t").cast("double").alias("t"))
+        margin = cells.groupBy(F.col(d).alias("value")).agg(F.sum("t").alias("t"))
+        share = F.pow(F.col("t").cast("double"), F.lit(float(temperatures[d])))
         if targets and d in targets:
             share = F.lit(0.0)
             for value, weight in targets[d].items():
-                share = F.when(F.col(d) == f"={value}", F.lit(float(weight))).otherwise(share)
-        else:
-            share = F.pow(share, F.lit(float(temperatures[d])))
-        margin = margin.select(d, share.alias(f"target_{d}"))
-        total = margin.agg(F.sum(f"target_{d}")).first()[0] or 1.0
-        cells = cells.join(margin.withColumn(f"target_{d}", F.col(f"target_{d}") / F.lit(total)), d)
-    return cells
+                share = F.when(F.col("value") == f"={value}", F.lit(float(weight))).otherwise(share)
+        margin = margin.select(F.lit(d).alias("dimension"), "value", "t", F.when(F.col("t") > 0, share).otherwise(0.0).alias("share"))
+        out = margin if out is None else out.union(margin)
+    out = settle(out.coalesce(1) if small else out)
+    level: dict[str, float] = {}
+    for _ in range(100):  # ends when no more values are full; each turn fills one at least
+        want = F.lit(0.0)
+        for d, x in level.items():
+            want = F.when(F.col("dimension") == d, F.col("share") * x).otherwise(want)
+        full = (want >= F.col("t")) & (F.col("share") > 0) if level else F.lit(False)
+        got = out.groupBy("dimension").agg(F.sum("t").alias("all"), F.sum(F.when(full, F.col("t")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("share"))).alias("rest")).collect()
+        new = {r.dimension: max(0.0, budget * r["all"] - r.full) / r.rest if r.rest else level.get(r.dimension, 0.0) for r in got}
+        if all(abs(new[d] - level.get(d, -1.0)) <= 1e-12 * new[d] for d in new):
+            break
+        level = new
+    want = F.lit(0.0)
+    for d, x in level.items():
+        want = F.when(F.col("dimension") == d, F.col("share") * x).otherwise(want)
+    return settle(out.select("dimension", "value", "t", F.least(F.col("t").cast("double"), want).alias("want")))
 
 
-def rake(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """`cells` (source, lang, topic, t) with `weight`, so that the shares of t * weight match every margin's targets.
+def rake(cells: DataFrame, budget: float = BUDGET, temperatures: dict[str, float] = TEMPERATURES, targets: dict[str, dict[str, float]] | None = None, few: int = FEW_CELLS) -> DataFrame:
+    """`cells` (source, lang, topic, t) with `probability`, `weight` and `gap`.
 
-    Repeats the three margins until no factor differs from 1 by more than TOLERANCE, or STEPS * PER_STEP times where the margins
-    contradict each other; each PER_STEP rounds end in a checkpoint. Sums of t * weight are 1 over all cells with a target over 0.
+    Expected tokens t * probability meet what `wanted` says of every margin. weight is the share of expected tokens that a token of the
+    cell stands for. Rounds end when no margin is off by more than TOLERANCE, or where margins contradict each other, when PER_STEP rounds gain
+    next to nothing, or after STEPS times as many; gap is the greatest relative error that remains in the cell's three margins. Up to `few` cells, a window sums a margin
+    and PER_STEP rounds are one job; beyond that, each sum is a group of its own, joined back.
     """
-    now = settle(_with_targets(cells, temperatures, targets).withColumn("weight", F.lit(1.0)))
+    small = cells.count() <= few
+    goals = wanted(cells, budget, temperatures, targets, small)
+    for d in DIMENSIONS:
+        own = goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("want").alias(f"want_{d}"))
+        cells = cells.join(own, d)
+    cells = cells.withColumn("factor", F.lit(float(budget)))
+    now = settle(cells.coalesce(1) if small else cells)  # few enough for one task, whose windows then need no shuffle
+    expected = F.col("t") * F.least(F.lit(1.0), "factor")
+    at_bound = F.when(F.col("factor") >= 1, F.col("t")).otherwise(0).cast("double")
+
+    def summed(now: DataFrame, d: str) -> DataFrame:
+        if small:
+            own = Window.partitionBy(d)
+            return now.withColumns({"sum": F.sum(expected).over(own), "full": F.sum(at_bound).over(own)})
+        now = settle(now)
+        return now.join(now.groupBy(d).agg(F.sum(expected).alias("sum"), F.sum(at_bound).alias("full")), d)
+
+    def error(d: str) -> Column:
+        want = F.col(f"want_{d}")
+        return F.when(want > 0, F.abs(F.col("sum") / want - 1)).otherwise(F.when(F.col("sum") > 0, 1.0).otherwise(0.0))
+
+    before = None
     for _ in range(STEPS):
-        moved = F.lit(0.0)
-        for round_ in range(PER_STEP):
+        for _ in range(PER_STEP):
             for d in DIMENSIONS:
-                sums = F.sum(F.col("t") * F.col("weight")).over(Window.partitionBy(d))
-                factor = F.when(sums > 0, F.col(f"target_{d}") / sums).otherwise(1.0)
-                now = now.withColumn("factor", factor).withColumn("weight", F.col("weight") * F.col("factor"))
-                if round_ == PER_STEP - 1:
-                    now = now.withColumn(f"moved_{d}", F.abs(F.col("factor") - 1))
-        moved = F.greatest(*(F.col(f"moved_{d}") for d in DIMENSIONS))
-        now = settle(now.withColumn("moved", moved).drop("factor", *(f"moved_{d}" for d in DIMENSIONS)))
-        most = now.where("weight > 0").agg(F.max("moved")).first()[0]
-        now = now.drop("moved")
-        if most is None or most <= TOLERANCE:
-            break
-    return now
-
-
-def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """`cells` with `probability`, min(1, c * weight), where c makes the expected tokens `budget` times all tokens.
-
-    Cells that reach 1 are taken whole, and c is set anew for the rest until no more reach it.
-    """
-    everything = cells.agg(F.sum("t")).first()[0] or 0
-    c = None
-    for _ in range(100):
-        full = F.lit(False) if c is None else F.col("weight") * c >= 1
-        got = cells.agg(F.sum(F.when(full, F.col("t")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("t") * F.col("weight"))), F.sum(full.cast("int"))).first()
-        if not got[1]:
-            break
-        new = max(0.0, budget * everything - got[0]) / got[1]
-        if c is not None and new <= c * (1 + 1e-12):
+                want, free = F.col(f"want_{d}"), F.col("sum") - F.col("full")
+                # a rise has to come from the cells below their bound
+                rise = F.when((want > F.col("sum")) & (free > 1e-9 * F.col("sum")), (want - F.col("full")) / free)
+                move = F.coalesce(rise, F.when(F.col("sum") > 0, want / F.col("sum")).otherwise(1.0))
+                now = summed(now, d).withColumn("factor", F.least(F.col("factor") * move, F.lit(1e6))).drop("sum", "full")
+        now = now.withColumn("gap", F.lit(0.0))
+        for d in DIMENSIONS:
+            now = summed(now, d).withColumn("gap", F.greatest("gap", error(d))).drop("sum", "full")
+        now = settle(now)
+        left = now.agg(F.max("gap")).first()[0] or 0.0
+        if left <= TOLERANCE or before is not None and left > 0.98 * before:
             break
-        c = new
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(c or 0.0)))
+        before = left
+    total = now.agg(F.sum(expected)).first()[0] or 1.0
+    probability = F.least(F.lit(1.0), "factor")
+    return now.select(*DIMENSIONS, "t", probability.alias("probability"), (probability / F.lit(total)).alias("weight"), "gap")
 
 
 def chance(doc_id: Column, seed: int = SEED) -> Column:
@@ -110,33 +139,47 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def keyed(df: DataFrame, source: str = "source", lang: str = "lang", topic: str | None = None, text: str = "text") -> DataFrame:
-    """`df` with t, k_source, k_lang, k_topic; without a topic column, the text's register is the topic."""
-    df = df.withColumn("__t", n_tokens(df[f"`{text}`"].cast("string")))
-    own = _key(df[f"`{topic}`"]) if topic else F.concat(F.lit("="), topic_of(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col("__t")))
-    return df.withColumns({"__source": _key(F.col(f"`{source}`")), "__lang": _key(F.col(f"`{lang}`")), "__topic": own})
+@dataclass
+class Keyed:
+    """rows: the input's columns, its tokens and its cell's keys; t and keys: the names of these."""
+
+    rows: DataFrame
+    t: str
+    keys: dict[str, str]
+
+
+def keyed(df: DataFrame, source: str = "source", lang: str = "lang", topic: str | None = None, text: str = "text") -> Keyed:
+    """Tokens and keys of each row; without a topic column, the text's register is the topic."""
+    t, keys = fresh("t"), {d: fresh(d) for d in DIMENSIONS}
+    df = df.withColumn(t, n_tokens(quoted(text).cast("string")))
+    own = _key(quoted(topic)) if topic else F.concat(F.lit("="), topic_of(F.coalesce(quoted(text).cast("string"), F.lit("")), F.col(t)))
+    return Keyed(df.withColumns({keys["source"]: _key(quoted(source)), keys["lang"]: _key(quoted(lang)), keys["topic"]: own}), t, keys)
 
 
-def cell_probabilities(rows: DataFrame, temperatures: dict[str, float] = TEMPERATURES, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """Of what `keyed` gives: (source, lang, topic, t, weight, probability) for each cell."""
-    cells = rows.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("__t").alias("t"))
-    return settle(calibrate(rake(settle(cells), temperatures, targets), budget))
+def cells_of(own: Keyed) -> DataFrame:
+    """(source, lang, topic, t) for each cell."""
+    return settle(own.rows.groupBy(*(F.col(own.keys[d]).alias(d) for d in DIMENSIONS)).agg(F.sum(own.t).alias("t")))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", topic: str | None = None, text: str = "text", budget: float = BUDGET, seed: int = SEED, rows: DataFrame | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """`df` with `topic`, `n_tokens`, `weight`, `probability` and `sampled`.
+def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", topic: str | None = None, text: str = "text", budget: float = BUDGET, seed: int = SEED, own: Keyed | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """`df` with `topic`, `n_tokens`, `weight`, `probability`, `gap` and `sampled`.
 
-    Weights come from all rows; a null category is a value of its own. A document is sampled if its id's hash is below its cell's
-    probability, so repeated rows share a fate and runs agree. Cells without tokens have probability 0 or their weight's. An empty
-    table gives an empty one; input columns named as a result are replaced. `rows`: a settled output of `keyed`, to save a pass.
+    Probabilities come from all rows; a null category is a value of its own, and null and empty texts have no tokens but a cell. A
+    document is sampled if its id's hash is below its cell's probability, so repeated rows share a fate and runs agree; ties can't be.
+    gap is above TOLERANCE where targets contradict each other. Very long texts count whole. An empty table gives an empty one; input
+    columns named as a result are replaced. `own`: what `keyed` gave, its rows settled, to save a pass over texts.
     """
-    names = ["topic", "n_tokens", "weight", "probability", "sampled"]
-    own = rows if rows is not None else keyed(df, source, lang, topic, text)
-    cells = cell_probabilities(own, targets=targets, budget=budget).select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("weight").alias("__w"), F.col("probability").alias("__p"))
-    small = cells.count() <= BROADCAST_CELLS
-    out = own.join(F.broadcast(cells) if small else cells, [f"__{d}" for d in DIMENSIONS])
-    kept = [f"`{c}`" for c in df.columns if c.lower() not in names]
+    names = ["topic", "n_tokens", "weight", "probability", "gap", "sampled"]
+    own = own or keyed(df, source, lang, topic, text)
+    to = {c: fresh(c) for c in (*DIMENSIONS, "weight", "probability", "gap")}
+    cells = rake(cells_of(own), budget, targets=targets)
+    cells = settle(cells.select(*(F.col(c).alias(n) for c, n in to.items())))
+    small = cells.count() <= FEW_CELLS
+    on = [F.col(own.keys[d]) == F.col(to[d]) for d in DIMENSIONS]
+    out = own.rows.join(F.broadcast(cells) if small else cells, on)
+    kept = [quoted(c) for c in df.columns if c.lower() not in names]
+    topic_key = F.col(own.keys["topic"])
     return out.select(
-        *kept, F.when(F.col("__topic") != "null", F.substr("__topic", F.lit(2))).alias("topic"), F.col("__t").alias("n_tokens"),
-        F.col("__w").alias("weight"), F.col("__p").alias("probability"), (chance(F.col(f"`{doc_id}`"), seed) < F.col("__p")).alias("sampled"),
+        *kept, F.when(topic_key != "null", F.substr(topic_key, F.lit(2))).alias("topic"), F.col(own.t).alias("n_tokens"), F.col(to["weight"]).alias("weight"),
+        F.col(to["probability"]).alias("probability"), F.col(to["gap"]).alias("gap"), (chance(quoted(doc_id), seed) < F.col(to["probability"])).alias("sampled"),
     )

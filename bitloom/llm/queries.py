@@ -35,8 +35,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, ~held_out(F.col("doc_id")))
-    found = language.identify(docs.select("doc_id", "text"), model, with_spans=False)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 @query
@@ -69,9 +69,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = settle(mixing.keyed(docs).drop("text"))
-    found = mixing.mix(docs.drop("text"), rows=rows)
-    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    own = mixing.keyed(docs)
+    own.rows = settle(own.rows.drop("text"))
+    found = mixing.mix(docs.drop("text"), own=own)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "gap", "sampled")
 
 
 @query
