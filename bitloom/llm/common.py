@@ -66,3 +66,21 @@ def settle(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file:///tmp/checkpoints/bitloom")
     return df.checkpoint()
+
+
+#: Keys with more rows than this, of which there can only be so many in a table, are joined by a broadcast.
+CROWD = 20_000
+
+
+def join_unevenly(rows: DataFrame, one: DataFrame, key: str, times: str, crowd: int = CROWD) -> DataFrame:
+    """`rows` joined with `one`, which has a single row for each `key` and in `times` how many rows of `rows` have it; not null.
+
+    Keys with more than `crowd` rows go another way, where they don't meet: their rows of `one`, at most one for `crowd` rows, are
+    broadcast. Where even these are many, rows of such keys stay with the others.
+    """
+    hot = settle(one.where(F.col(times) > crowd))
+    n = hot.count()
+    if not 0 < n <= 50_000:
+        return rows.join(one, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(times) <= crowd), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key).select(cold.columns))

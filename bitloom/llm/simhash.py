@@ -16,15 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, with_results
+from .common import fresh, join_unevenly, quoted, settle, with_results
 from .graph import components
 
 SEED = 42
 SHINGLE = 3
 FAR = 3
-#: Buckets above this many fingerprints are dealt anew by parts of their other half.
+#: Keys that more fingerprints than this may have are dealt by parts of the other half.
 LIMIT = 4096
 _BLOCK = 1 << 16
+#: So many halves have a crowd at most for the keys to be broadcast.
+MOST_CROWDED = 20_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -87,8 +89,8 @@ def _forest(own: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
     return found
 
 
-def _link(keys: np.ndarray, fps: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges (n x 2) of whole groups of equal, sorted keys, and the rows of groups above `limit`."""
+def _link(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Verified edges (n x 2) of whole groups of equal, sorted keys."""
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(cuts, len(keys)))
     struck = (keys[cuts].astype(np.uint64) >> np.uint64(32)) & np.uint64(0x7F)
@@ -100,82 +102,91 @@ def _link(keys: np.ndarray, fps: np.ndarray, limit: int | None) -> tuple[np.ndar
     two = cuts[use & (sizes == 2)]
     near = two[np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= FAR] if len(two) else two
     edges.append(np.stack([fps[near], fps[near + 1]], 1))
-    hot = np.zeros(len(keys), bool)
     for g in np.flatnonzero(use & (sizes > 2)).tolist():
         a, b = cuts[g], cuts[g] + sizes[g]
-        if limit and sizes[g] > limit:
-            hot[a:b] = True
-            continue
         own = fps[a:b]
         if pairs := _forest(own, None if bit[g] == 32 else side[a:b]):
             edges.append(own[np.array(pairs)])
-    return np.concatenate(edges), hot
+    return np.concatenate(edges)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, sub): edges (null, u, v), and (key, fp, null) for rows of groups above `limit`."""
-    rest: list[np.ndarray] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) over rows (key, sub, fp) sorted by (key, sub); a group's rows wait for its last one."""
+    rest: list[list[np.ndarray]] = []
 
-    def done(key: np.ndarray, sub: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        # groups by (key, sub): a number that keeps the key's upper part in sight
-        at = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
-        edges, hot = _link((key & ~np.int64(0xFFFFFFFF)) | at, fp, limit)
-        edges = np.unique(np.sort(edges, axis=1), axis=0)
-        out = [np.full(len(edges), -1), edges[:, 0], edges[:, 1]], [key[hot], fp[hot], fp[hot]]
-        for a, b, c in out:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["key", "u", "v"])
+    def done(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, sub, fp = (np.concatenate(x) for x in zip(*parts))
+        if len(key):
+            # groups by (key, sub): a number that keeps the key's upper part in sight
+            at = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
+            edges = np.unique(np.sort(_link((key & ~np.int64(0xFFFFFFFF)) | at, fp), axis=1), axis=0)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if rest:
-            now = [np.concatenate(x) for x in zip(rest, now)]
         if not len(now[0]):
             continue
         same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
         cut = int(np.argmax(same))  # sorted: the last group begins at its first row
-        yield from done(*(x[:cut] for x in now))
-        rest = [x[cut:] for x in now]
+        if rest and (cut or rest[-1][0][-1] != now[0][0] or rest[-1][1][-1] != now[1][0]):
+            yield from done([*rest, [x[:cut] for x in now]])
+            rest = []
+        elif cut:
+            yield from done([[x[:cut] for x in now]])
+        rest.append([x[cut:] for x in now])
     if rest:
-        yield from done(*rest)
+        yield from done(rest)
+
+
+def crowded(prints: DataFrame, limit: int) -> DataFrame:
+    """(half): the keys of whole halves of which, struck or not, a key that more than `limit` of `prints` have can come.
+
+    Fingerprints of a struck key have one of two whole halves, so one of these has more than half of them: counting whole halves, two
+    rows a fingerprint, finds all of them, and none that fewer than `limit` / 2 fingerprints have.
+    """
+    whole = prints.select(F.explode(F.expr("array(shiftleft(32L, 32) | fp & 4294967295L, shiftleft(65L, 32) | shiftrightunsigned(fp, 32))")).alias("half"))
+    return whole.groupBy("half").count().where(F.col("count") * 2 > limit).select("half")
 
 
 def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints `fp` that join exactly what all links of up to FAR bits join.
 
-    Keys are dealt over the cluster; a key's rows meet in one task, which emits at most one edge fewer than rows. A key with more
-    than `limit` rows is split first: the other half is cut in two, and its rows go by each 16-bit part with one bit struck out (or
-    none) to groups of which none can have more than 2**18 fingerprints.
+    Keys are dealt over the cluster; a key's rows meet in one task, which emits at most one edge fewer than rows. A key that more than
+    `limit` rows may have is split before they meet: the other half is cut in two, and its rows go by each 16-bit part with one bit
+    struck out (or none) to groups of which none can have more than 2**18 fingerprints.
     """
-    dealt = variants(prints).withColumn("sub", F.lit(0).cast("long")).select("key", "sub", "fp").repartition("key").sortWithinPartitions("key", "sub")
-    first = settle(dealt.mapInArrow(lambda it: _groups(it, limit), "key long, u long, v long"))
-    edges = first.where("key < 0").select("u", "v")
-    hot = first.where("key >= 0").select("key", F.col("u").alias("fp"))
-    if not hot.isEmpty():
+    rows = variants(prints).withColumn("sub", F.lit(0).cast("long"))
+    halves = settle(crowded(prints, limit))
+    n = halves.count()
+    if n:
+        struck = "explode(transform(sequence(0, 32), b -> half - shiftleft(cast(32 - b as bigint), 32) & ~(if(b = 32, 0L, shiftleft(1L, b))))) as hot"
+        hot = halves.selectExpr(struck).distinct()
+        marked = rows.join(F.broadcast(hot) if n <= MOST_CROWDED else hot, F.col("key") == F.col("hot"), "left")
         other = "shiftrightunsigned(fp, 32 * (1 - (shiftrightunsigned(key, 32) div 33))) & 4294967295L"
         part = f"shiftrightunsigned({other}, 16 * (w div 17)) & 65535L & ~(if(w % 17 = 16, 0L, shiftleft(1L, cast(w % 17 as int))))"
-        split = hot.select("key", "fp", F.explode(F.sequence(F.lit(0), F.lit(33))).alias("w")).selectExpr("key", f"shiftleft(cast(w as bigint), 16) | ({part}) as sub", "fp")
-        again = split.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(lambda it: _groups(it, None), "key long, u long, v long")
-        edges = edges.union(again.select("u", "v"))
-    return edges
+        split = marked.where("hot is not null").select("key", "fp", F.explode(F.sequence(F.lit(0), F.lit(33))).alias("w")).selectExpr("key", f"1 + (shiftleft(cast(w as bigint), 16) | ({part})) as sub", "fp")
+        rows = marked.where("hot is null").select("key", "sub", "fp").union(split)
+    dealt = rows.select("key", "sub", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub")
+    return dealt.mapInArrow(_groups, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of `df`.
+    """(doc_id, text_hash, fp, component_id, root) for every row of `df`.
 
     component_id: the smallest doc_id among all rows whose fingerprints a chain of links of up to 3 differing bits reaches, own row
     included; null only where all those doc_ids are null. Equal fingerprints are one node, so copies cost one row each and no pairs.
-    Null and word-less texts have fingerprint 0 and link like any other. Repeated rows stay repeated. Other columns are not read.
+    Null and word-less texts have fingerprint 0 and link like any other. Very long texts are read whole. Repeated rows stay repeated. An
+    empty table gives an empty one. Other columns are not read.
     """
-    read = df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
+    read = df.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"))
     rows = settle(with_fingerprint(read, "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fp"), limit))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(member.join(named, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    named = settle(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes")))
+    member = settle(join_unevenly(member, named, "root", "nodes"))
+    return join_unevenly(rows, member, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def one_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +197,8 @@ def one_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     found = near_duplicates(df, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.text_hash").alias("__hash"))
-    rows = df.withColumns({"__own_id": df[f"`{doc_id}`"], "__own_hash": F.xxhash64(df[f"`{text}`"].cast("string"))})
-    rows = rows.join(stay, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
-    return rows.dropDuplicates(["__own_id", "__own_hash"]).drop("__own_id", "__own_hash")
+    own_id, own_hash, one_id, one_hash = fresh("id"), fresh("hash"), fresh("id"), fresh("hash")
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias(one_id), F.col("m.text_hash").alias(one_hash))
+    rows = df.withColumns({own_id: quoted(doc_id), own_hash: F.xxhash64(quoted(text).cast("string"))})
+    rows = rows.join(stay, F.col(own_id).eqNullSafe(F.col(one_id)) & (F.col(own_hash) == F.col(one_hash)), "left_semi")
+    return rows.dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)

@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from bitloom.llm import simhash
+from bitloom.llm.common import join_unevenly
 from bitloom.llm.graph import components
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
@@ -63,6 +64,32 @@ def test_links_join_what_all_pairs_join(spark, limit):
     assert got == want
 
 
+def test_a_key_of_many_is_dealt_before_its_rows_meet(spark):
+    rng = np.random.default_rng(6)
+    low = 0x12345678
+    prints = sorted({int(x) << 32 | low for x in rng.integers(0, 2**31, 6000)} | {int(x) << 32 | low ^ 1 for x in rng.integers(0, 2**31, 3000)})
+    prints = sorted({*prints, *(p ^ (1 << 40) for p in prints[::9]), *(p ^ (1 << 3) ^ (3 << 50) for p in prints[1::9])})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(4)
+    whole = simhash.variants(df).groupBy("key").count().where("count > 512").select("key")
+    struck = "explode(transform(sequence(0, 32), b -> (half - shiftleft(cast(32 - b as bigint), 32)) & ~(if(b = 32, 0L, shiftleft(1L, b))))) as key"
+    assert whole.count() > 30 and whole.join(simhash.crowded(df, 512).selectExpr(struck), "key", "left_anti").isEmpty()
+    a, b = (components(simhash.links(df, limit)).orderBy("node").collect() for limit in (512, 1 << 20))
+    assert a == b and len(a) > 1500
+
+
+def test_joins_of_crowds(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id < 600, 7, id) as fp")
+    one = rows.groupBy("fp").count().withColumnRenamed("count", "copies").withColumn("name", F.col("fp") * 2)
+    got = join_unevenly(rows, one, "fp", "copies", 100)
+    assert sorted((r.id, r.name) for r in got.collect()) == [(i, 14 if i < 600 else 2 * i) for i in range(1000)]
+
+
+def test_one_each_keeps_user_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 10)], "doc_id long, text string, __own_id int, fp int, `a``b` int")
+    got = simhash.one_each(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d", 5, 6, 7)]
+
+
 def test_odd_rows(spark):
     rows = [(5, None, "x", 1), (6, "", "x", 1), (7, "a b c d", "x", 1), (7, "a b c d", "x", 1), (None, "A B c  d", None, None), (9, "word " * 50_000, None, 2)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
