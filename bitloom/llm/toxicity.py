@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, settle, with_results
+from .common import blocks, quoted, settle, with_results
 
-#: Bits of a feature's number; distances of the two words of a pair: next to each other, or with one between.
+#: Bits of a feature's number; distances of the two words of a pair: next to each other, or with one or two between.
 BITS = 18
-GAPS = (1, 2)
-#: The classifier is fitted on at most so many labelled rows, those whose hashed ids are least.
+GAPS = (1, 2, 3)
+#: The classifier is fitted on at most so many labelled rows, of those whose hashed ids are least.
 SAMPLE = 12_000
 ROUNDS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.01
@@ -97,15 +97,17 @@ def _train(texts: pd.Series, labels: np.ndarray, z: np.ndarray, n: np.ndarray) -
 def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Weights:
     """Weights learnt from the labelled rows of `docs` where `train` (over the ids of `labels`) is true.
 
-    At most `sample` labelled ids, the least by hash, so that a run over more data fits the same way. Their rows pass one after the
-    other, in the order of that hash, ROUNDS times; each pass is a task of its own that starts from the state before.
-    Ids or labels that are null are left out; an id with several labels has the greatest, one with several rows each of them.
+    At most `sample` labelled ids, the least by hash, and of their distinct rows at most `sample`, again the least by hash, so that a
+    run over more data fits the same way and no id can fill the task. These rows pass one after the other, in that order, ROUNDS times;
+    each pass is a task of its own that starts from the state before. Ids or labels that are null are left out; an id with several
+    labels has the greatest, one with several texts each of them, a repeated row counts once. Null texts count as empty. No labelled
+    row, or an empty table: weights that score 0.
     """
     chosen = labels.where(train & labels[doc_id].isNotNull() & labels[label].isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = settle(rows.withColumn("at", F.xxhash64("id", F.lit(1))).select("at", "id", "y", "text"))
-    rows = rows.repartition(1).sortWithinPartitions("at", "id", "text")
+    rows = docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.dropDuplicates(["id", "text"]).withColumn("at", F.xxhash64("id", "text")).orderBy("at", "id").limit(sample)
+    rows = settle(rows.repartition(1).sortWithinPartitions("at", "id"))  # bounded, and in order for every pass
     end = 1 << BITS
     z, n = np.zeros(end + 1), np.zeros(end + 1)
     for _ in range(ROUNDS):
@@ -130,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
 def score(df: DataFrame, weights: Weights, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """`df` with `score` (0 to 1) and `predicted` (1 if the score is `threshold` or more) for each whole text; null counts as empty.
 
-    A map over rows with the weights broadcast. Input columns named as a result are replaced; repeated rows get equal scores.
+    A map over rows with the weights broadcast. Very long texts are read whole. Input columns named as a result are replaced; repeated
+    rows get equal scores; an empty table gives an empty one.
     """
     common = df.sparkSession.sparkContext.broadcast(weights)
 
@@ -140,4 +143,4 @@ def score(df: DataFrame, weights: Weights, text: str = "text", threshold: float
             s = common.value.scores(texts)
             yield pd.DataFrame({"score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    return with_results(df, scored(df[f"`{text}`"].cast("string")), ["score", "predicted"])
+    return with_results(df, scored(quoted(text).cast("string")), ["score", "predicted"])

@@ -1,3 +1,6 @@
+import math
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,3 +36,63 @@ def test_features_stay_within_texts():
     row, f = toxicity.features(pd.Series(["a b", None, "", "c"]))
     assert sorted(row.tolist()) == [0, 0, 0, 3]
     assert len(set(f.tolist())) == 4
+
+
+def plain_features(text):
+    """Numbers of a text's words, and of pairs of words with none, one or two between, by integer arithmetic alone."""
+    mix = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+    apart = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower())
+    h = [crc32(w.encode()) for w in apart.split()]
+    top = lambda x: (x & (1 << 64) - 1) >> 64 - toxicity.BITS
+    out = {top((x + 1) * mix[0]) for x in h}
+    for k in (1, 2, 3):
+        out |= {top((((a + k) * mix[k] & (1 << 64) - 1) ^ b) * mix[0]) for a, b in zip(h, h[k:])}
+    return out
+
+
+def plain_fit(rows, rounds):
+    """FTRL-proximal over dicts, coordinate by coordinate."""
+    z, n = {}, {}
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(i):
+        rate = (beta + math.sqrt(n.get(i, 0.0))) / alpha
+        if i == "bias":
+            return -z.get(i, 0.0) / rate
+        own = z.get(i, 0.0)
+        return 0.0 if abs(own) <= l1 else (math.copysign(l1, own) - own) / (rate + l2)
+
+    for _ in range(rounds):
+        for text, y in rows:
+            own = [*plain_features(text), "bias"]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for i in own:
+                more = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(more) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = more
+    return {i: weight(i) for i in z}
+
+
+def test_query_equals_a_plain_loop(spark, sf):
+    from bitloom.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ordered = docs.withColumn("text", F.coalesce("text", F.lit(""))).orderBy(F.xxhash64("doc_id", "text")).collect()
+    train = [(r.text, labels[r.doc_id]) for r in ordered if r.doc_id in labels and crc32(str(r.doc_id).encode()) % 4 != 2]
+    w = plain_fit(train, toxicity.ROUNDS)
+    assert sum(1 for x in w.values() if x) > 5  # few, as L1 wants it
+    texts = {r.doc_id: r.text for r in ordered}
+    for r in QUERIES["op6_toxicity"](spark, sf).collect():
+        want = 1 / (1 + math.exp(-max(-35, min(35, w["bias"] + sum(w.get(i, 0.0) for i in plain_features(texts[r.doc_id]))))))
+        assert abs(r.score - want) < 1e-5 and r.predicted == int(r.score >= 0.3) and r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_an_id_of_many_rows_stays_within_the_bound(spark):
+    docs = spark.range(100_000).selectExpr("cast(1 as long) as doc_id", "concat('word', id % 40000) as text").union(spark.createDataFrame([(2, "vile " * 3), (2, "vile " * 3), (3, None), (4, "long text " * 300_000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, labels, F.lit(True), sample=500)
+    assert weights.trained
+    got = toxicity.score(docs.where("doc_id > 1"), weights).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 2}) == 1
