@@ -24,11 +24,15 @@ def merkle_levels(leaves: DataFrame, key: str = "i", most: int = 64) -> DataFram
     return now.select(F.col("h").alias("root"))
 
 
-def chains(rows: DataFrame, by: list[str], order: str, receipt: Column) -> DataFrame:
-    """(by, n, last): a hash chain over each group's receipts in order; `by` is to name chunks, which writers bound."""
-    own = rows.select(*by, order, receipt.alias("receipt"))
-    g = own.groupBy(*by).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct(order, "receipt"))), lambda x: x["receipt"]).alias("all"))
-    return g.select(*by, "n", chained(F.col("all")).alias("last"))
+def chains(rows: DataFrame, by: list[str], order: str, receipt: Column, weight: str | None = None) -> DataFrame:
+    """(by, n, last) and, with `weight`, total: a hash chain over each group's receipts in order, and sums.
+
+    `by` is to name chunks, which writers bound; chunks are chained by a second call over their last hashes.
+    """
+    own = rows.select(*by, order, receipt.alias("receipt"), *([weight] if weight else []))
+    sums = [F.sum(weight).alias("total")] if weight else []
+    g = own.groupBy(*by).agg(F.count("*").alias("n"), *sums, F.transform(F.sort_array(F.collect_list(F.struct(order, "receipt"))), lambda x: x["receipt"]).alias("all"))
+    return g.select(*by, "n", *(["total"] if weight else []), chained(F.col("all")).alias("last"))
 
 
 def holes(rows: DataFrame, by: str, number: str) -> DataFrame:

@@ -1,35 +1,28 @@
-"""Bernoulli subsets of rows for several heads, by a counter-based generator: independent of order and chunks."""
+"""Random subsets of rows for several heads: whether a head has an id follows from a hash of both, so order and partitions don't matter."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: The increments and multipliers of SplitMix64.
-GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+from ..functions.hashing import sha
 
+VERSION = "subbag-v1"
 
-def members(ids: np.ndarray, heads: int, keep: float, seed: int) -> np.ndarray:
-    """rows x heads; a row that no head drew belongs to head (id + seed) mod heads."""
-    with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)[:, None] ^ (np.arange(heads, dtype=np.uint64)[None] * np.uint64(GOLDEN)) ^ np.uint64(seed)
-        for shift, factor in ((30, FIRST), (27, SECOND)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    drawn = (x >> np.uint64(11)) / float(1 << 53) < keep
-    none = np.flatnonzero(~drawn.any(axis=1))
-    drawn[none, (ids[none].astype(np.int64) + seed) % heads] = True
-    return drawn
 
+def threshold(keep: float) -> str:
+    """The 16 hex digits below which a share `keep` of all hashes lies."""
+    return f"{min(int(keep * (1 << 64)), (1 << 64) - 1):016x}"
 
-def subbag(ids: Column, heads: int = 4, keep: float = 0.8, seed: int = 17) -> Column:
-    """The heads of each id as bits of a number. 64-bit products wrap here, which Spark's own arithmetic refuses."""
-
-    @F.pandas_udf(T.LongType())
-    def drawn(s: pd.Series) -> pd.Series:
-        return pd.Series(members(s.to_numpy(), heads, keep, seed) @ (1 << np.arange(heads, dtype=np.int64)))
 
-    return drawn(ids)
+def subbag(ids: Column, heads: int = 4, keep: float = 0.8, seed: int = 17) -> Column:
+    """The heads of each id as bits of a number; an id that no head draws goes to the head of its least hash, so that none is lost."""
+    hashes = [F.substring(sha(VERSION, str(seed), str(h), ids), 1, 16) for h in range(heads)]
+    drawn = F.lit(0).cast("long")
+    for h, x in enumerate(hashes):
+        drawn = drawn + F.when(x < threshold(keep), F.lit(1 << h)).otherwise(F.lit(0))
+    least = F.least(*hashes) if heads > 1 else hashes[0]
+    one = F.lit(0)
+    for h in reversed(range(heads)):
+        one = F.when(hashes[h] == least, F.lit(1 << h)).otherwise(one)
+    return F.when(drawn > 0, drawn).otherwise(one.cast("long"))

@@ -28,12 +28,24 @@ def line(text: Column, number: Column | int) -> Column:
 
 
 def byte_range(text: Column, start: int, end: int) -> Column:
-    """Bytes start to end of the UTF-8 text, decoded."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
+    """Bytes start to end of the UTF-8 text."""
+    return F.substring(F.encode(text, "UTF-8"), start + 1, end - start)
+
+
+def decoded(raw: Column) -> Column:
+    """The text that bytes are; null where they aren't whole UTF-8 characters."""
+    return F.try_validate_utf8(raw)
 
 
 def json_pointer(document: Column, pointer: str) -> Column:
-    """The value that an RFC 6901 pointer of member names and indices leads to, as text."""
+    """The value that an RFC 6901 pointer leads to, as text: a step of digits is an index of an array or else the name of a member.
+
+    Names with a quote can't be said in Spark's paths and are refused.
+    """
     steps = [s.replace("~1", "/").replace("~0", "~") for s in pointer.split("/")[1:]]
-    path = "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps)
-    return F.get_json_object(document, path)
+    if any("'" in s for s in steps):
+        raise ValueError(f"a name with a quote: {pointer}")
+    paths = ["$"]
+    for s in steps:  # every reading of digits; a document has one of them
+        paths = [p + x for p in paths for x in ([f"[{s}]"] if s == "0" or s.isdigit() and s[0] != "0" else []) + [f"['{s}']"]]
+    return F.coalesce(*(F.get_json_object(document, p) for p in paths))

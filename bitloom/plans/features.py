@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..operators import rank
+from ..operators import moments, rank
 from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import ITEMS, query
@@ -41,44 +41,64 @@ def gram_matrix(spark, sf_dir):
     return each.groupBy("i", "j").agg(F.round(F.sum(F.col("x").cast("double") * F.col("y").cast("double")), 4).alias("gram"))
 
 
-@query()
-def principal_axes(spark, sf_dir, k=8):
-    """The k greatest principal axes, each with its greatest component positive: sums of products by Spark, the 64 x 64 solve by numpy."""
+def _sums(spark, sf_dir):
+    """Of vectors x and label indicators: n, sums of x, of x x', and of x by label, as arrays; dimensions squared, whatever the rows."""
+    import numpy as np
+
+    e = table(spark, sf_dir, "embeddings").select("embedding", "label")
+    m = moments.bank_moments(e, F.transform("embedding", lambda x: x.cast("double"))).first()
+    if m is None:
+        return 0, np.zeros(0), np.zeros((0, 0)), {}, {}
+    by = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n")).collect()
+    of, counts = {}, {}
+    for r in by:
+        of.setdefault(r.label, np.zeros(len(m.bit_sum)))[r.i] = r.s
+        counts[r.label] = r.n
+    return m.n, np.array(m.bit_sum), np.array(m.gram), of, counts
+
+
+def axes_of(n, total, gram, k):
+    """(variance, axis) of the k greatest principal axes, each with its greatest component positive; a solve as wide as the vectors."""
     import numpy as np
 
-    g = gram_matrix(spark, sf_dir)
-    e = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("n")).orderBy("i").collect()
-    d = len(e)
-    gram, mean, n = np.zeros((d, d)), np.array([r.mean for r in e]), e[0].n if e else 0
-    for r in g.collect():  # dimensions squared, whatever the rows
-        gram[r.i, r.j] = r.gram
-    values, vectors = np.linalg.eigh(gram / max(n, 1) - np.outer(mean, mean)) if d else (np.zeros(0), np.zeros((0, 0)))
+    mean = total / max(n, 1)
+    values, vectors = np.linalg.eigh(gram / max(n, 1) - np.outer(mean, mean)) if n else (np.zeros(0), np.zeros((0, 0)))
     out = []
-    for axis, at in enumerate(np.argsort(-values)[:k]):
+    for at in np.argsort(-values)[:k]:
         v = vectors[:, at]
-        v = v * np.sign(v[np.argmax(np.abs(v))])
-        out += [(axis, i, float(values[at]), float(x)) for i, x in enumerate(v)]
-    axes = spark.createDataFrame(out, "axis int, dim int, variance double, weight double")
-    return axes
+        out.append((float(values[at]), v * np.sign(v[np.argmax(np.abs(v))])))
+    return out
 
 
-@query()
-def ridge_labels(spark, sf_dir, penalty=1.0):
-    """Ridge regression from vectors to label indicators by normal equations: the sums are distributed, the solve is 64 wide."""
+def ridge_of(n, total, gram, of, counts, penalty):
+    """(weights, intercepts) for the labels in order: least squares to 0 and 1 with a penalty on the weights alone, by centred normal equations."""
     import numpy as np
 
+    names = sorted(of)
+    mean = total / n
+    share = np.array([counts[x] / n for x in names])
+    rhs = np.stack([of[x] for x in names], 1) - np.outer(total, share)
+    w = np.linalg.solve(gram - n * np.outer(mean, mean) + penalty * np.eye(len(mean)), rhs)
+    return names, w, share - mean @ w
+
+
+@query()
+def principal_axes(spark, sf_dir, k=8):
+    """The k greatest principal axes: sums of products by Spark, the solve on the driver."""
+    n, total, gram, _, _ = _sums(spark, sf_dir)
+    out = [(axis, i, value, float(x)) for axis, (value, v) in enumerate(axes_of(n, total, gram, k)) for i, x in enumerate(v)]
+    return spark.createDataFrame(out, "axis int, dim int, variance double, weight double")
+
+
+@query()
+def ridge_labels(spark, sf_dir, penalty=1.0):
+    """Each row's label by ridge regression to label indicators, against its own: sums are distributed, the solve is as wide as the vectors."""
     e = table(spark, sf_dir, "embeddings").select("embedding", "label")
-    xy = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s")).collect()
-    gram = np.zeros((64, 64))
-    for r in gram_matrix(spark, sf_dir).collect():
-        gram[r.i, r.j] = r.gram
-    names = sorted({r.label for r in xy})
-    rhs = np.zeros((64, len(names)))
-    for r in xy:
-        rhs[r.i, names.index(r.label)] = r.s
-    w = np.linalg.solve(gram + penalty * np.eye(64), rhs)
-    arrays = F.array(*(F.array(*(F.lit(float(x)) for x in w[:, j])) for j in range(len(names))))
-    scores = F.transform(arrays, lambda v: C.dot(F.col("embedding"), v))
+    n, total, gram, of, counts = _sums(spark, sf_dir)
+    if not n:
+        return e.select("label", F.col("label").alias("predicted"), F.lit(0).cast("long").alias("n"))
+    names, w, b = ridge_of(n, total, gram, of, counts, penalty)
+    scores = F.array(*(C.dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in w[:, j]))) + float(b[j]) for j in range(len(names))))
     best = F.array_position(scores, F.array_max(scores)) - 1
     return e.select("label", F.get(F.array(*map(F.lit, names)), best.cast("int")).alias("predicted")).groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
@@ -124,12 +144,12 @@ def second_order_affinity(spark, sf_dir):
     return rank.against_all(a, b, "a").where("a < b").select("a", "b", F.round(C.dot(F.col("ya"), F.col("xb")) / (F.col("la") * F.col("lb")), 6).alias("second_order"))
 
 
-@query("WITH s AS (SELECT unnest(range(1, 5)) AS shift, vec_id, label, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings) SELECT a.shift::INTEGER AS shift, count(*) AS n_pairs, round(avg((a.label = b.label)::INTEGER), 8) AS same, round(avg(list_dot_product(a.embedding[1:32]::DOUBLE[], b.embedding[33:64]::DOUBLE[])), 6) AS mean_dot FROM s a, n JOIN embeddings b ON b.vec_id = (a.vec_id + a.shift) % n.n GROUP BY a.shift")
+@query("WITH s AS (SELECT unnest(range(1, 33)) AS shift, vec_id, label, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings) SELECT a.shift::INTEGER AS shift, count(*) AS n_pairs, round(avg((a.label = b.label)::INTEGER), 8) AS same, round(avg(list_dot_product(a.embedding[1:32]::DOUBLE[], b.embedding[33:64]::DOUBLE[])), 6) AS mean_dot FROM s a, n JOIN embeddings b ON b.vec_id = (a.vec_id + a.shift) % n.n GROUP BY a.shift")
 def rolled_pairs(spark, sf_dir):
-    """Mismatched pairs: each image half with the text half of the row 1 to 4 places on."""
+    """Mismatched pairs: each image half with the text half of the row 1 to 32 places on."""
     e = table(spark, sf_dir, "embeddings")
     n = e.count()
-    a = e.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("shift"), "label", F.slice("embedding", 1, 32).alias("x"), "vec_id").withColumn("other", (F.col("vec_id") + F.col("shift")) % F.lit(max(n, 1)))
+    a = e.select(F.explode(F.sequence(F.lit(1), F.lit(32))).alias("shift"), "label", F.slice("embedding", 1, 32).alias("x"), "vec_id").withColumn("other", (F.col("vec_id") + F.col("shift")) % F.lit(max(n, 1)))
     b = e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.slice("embedding", 33, 32).alias("y"))
     return a.join(b, "other").groupBy("shift").agg(F.count("*").alias("n_pairs"), F.round(F.avg((F.col("label") == F.col("l2")).cast("int")), 8).alias("same"), F.round(F.avg(C.dot(F.col("x"), F.col("y"))), 6).alias("mean_dot"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..operators import local_order, rank
-from ..operators.subbag import subbag
+from ..operators.subbag import subbag, threshold
 from ..sources.items import codes, items, with_split
 from ..sources.tables import table
 from .registry import query
@@ -14,7 +14,10 @@ from .registry import query
 
 @query()
 def local_partial_order(spark, sf_dir):
-    """The first 64 rows of each image query by 16-bit distance, refined by cosines of three parts of the vectors as heads."""
+    """The first 64 rows of each image query by 16-bit distance, refined by cosines of parts of the vectors as heads.
+
+    A score's interval has the spread of its heads as width, so that rows of different distances can overlap.
+    """
     s = with_split(items(spark, sf_dir))
     c = codes(s).where("bits = 16")
     q = c.where("is_q and modality = 'image'").select(F.col("id").alias("qid"), F.col("code").alias("qcode"), F.col("image").alias("qv"))
@@ -22,9 +25,15 @@ def local_partial_order(spark, sf_dir):
     head = lambda a, n: F.round((C.cosine(F.slice("qv", a, n), F.slice("dv", a, n)) + 1) / 2, 2)
     rows = rank.against_all(q, d).withColumn("score", -C.hamming(F.col("qcode"), F.col("dcode")).cast("double"))
     rows = rows.withColumns({"relevance": F.array(head(1, 16), head(17, 16)), "graded": F.array(head(1, 8), head(9, 8))})
-    return local_order.decode(rows.select("qid", "did", "score", F.col("score").alias("low"), F.col("score").alias("high"), "relevance", "graded"), 64)
+    spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
+    return local_order.decode(rows.select("qid", "did", "score", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"), "relevance", "graded"), 64)
 
 
-@query()
+@query(
+    f"WITH h AS (SELECT vec_id, [sha256(concat_ws(chr(0), 'subbag-v1', '17', i::VARCHAR, vec_id::VARCHAR))[1:16] FOR i IN range(0, 4)] AS hs FROM embeddings), "
+    f"b AS (SELECT hs, list_sum([CASE WHEN hs[i + 1] < '{threshold(0.8)}' THEN 1::BIGINT << i ELSE 0 END FOR i IN range(0, 4)]) AS drawn FROM h) "
+    "SELECT (CASE WHEN drawn > 0 THEN drawn ELSE 1::BIGINT << (list_position(hs, list_min(hs)) - 1)::INTEGER END)::BIGINT AS heads, count(*) AS n FROM b GROUP BY 1"
+)
 def head_subbags(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", subbag(F.col("vec_id")).alias("heads")).groupBy("heads").agg(F.count("*").alias("n"))
+    """How many rows each set of heads has drawn."""
+    return table(spark, sf_dir, "embeddings").select(subbag(F.col("vec_id")).alias("heads")).groupBy("heads").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha, unsigned_64
@@ -23,11 +24,11 @@ def line_locators(spark, sf_dir):
     return d.select("doc_id", text.line(F.col("text"), 0).alias("first_line"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), text.line(F.col("text"), 2).alias("third_line"))
 
 
-@query("SELECT item_id, upper(hex(encode(text))[1:80]) AS head, octet_length(encode(text)) AS n_bytes FROM benchmark")
+@query("SELECT item_id, upper(hex(encode(text))[1:80]) AS head, octet_length(encode(text)) AS n_bytes, TRY(decode(unhex(hex(encode(text))[1:80]))) AS head_text FROM benchmark")
 def byte_locators(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    raw = F.encode("text", "UTF-8")
-    return b.select("item_id", F.hex(F.substring(raw, 1, 40)).alias("head"), F.octet_length("text").cast("long").alias("n_bytes"))
+    head = text.byte_range(F.col("text"), 0, 40)
+    return b.select("item_id", F.hex(head).alias("head"), F.octet_length("text").cast("long").alias("n_bytes"), text.decoded(head).alias("head_text"))
 
 
 @query("SELECT event_id, json_extract_string(props, '/k') AS k, event_type FROM events")
@@ -44,8 +45,12 @@ def grouped_captions(spark, sf_dir):
 
 @query("SELECT p_type, list_sort(list(DISTINCT 'a photo of ' || lower(p_name))) [1:3] AS prompts, count(DISTINCT p_name) AS n FROM part GROUP BY p_type")
 def prompts(spark, sf_dir):
+    """The three least prompts of each type, and how many names it has: names are made distinct first, and only three of a type meet."""
     p = table(spark, sf_dir, "part").select("p_type", F.concat(F.lit("a photo of "), F.lower("p_name")).alias("prompt"), "p_name")
-    return p.groupBy("p_type").agg(F.slice(F.sort_array(F.collect_set("prompt")), 1, 3).alias("prompts"), F.countDistinct("p_name").alias("n"))
+    place = F.row_number().over(Window.partitionBy("p_type").orderBy("prompt"))
+    least = p.select("p_type", "prompt").distinct().withColumn("place", place).where("place <= 3").groupBy("p_type").agg(F.sort_array(F.collect_list("prompt")).alias("prompts"))
+    n = p.select("p_type", "p_name").distinct().groupBy("p_type").agg(F.count("p_name").alias("n"))
+    return least.join(n, "p_type").select("p_type", "prompts", "n")
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/?#]*)/?([?#].*)?$', 1) AS base, regexp_extract(url, '([0-9]+)', 1) AS photo_id, regexp_replace(url, '[0-9]+', '#', 'g') AS scrubbed FROM pages")
@@ -66,12 +71,15 @@ def identity_checks(spark, sf_dir):
 
 @query(
     "WITH RECURSIVE r AS (SELECT conv_id, turn // 64 AS chunk, row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) AS k, sha256(concat_ws(chr(0), 'receipt', conv_id::VARCHAR, turn::VARCHAR, role)) AS receipt FROM conversations), "
-    "c AS (SELECT conv_id, chunk, 0::BIGINT AS k, repeat('0', 64) AS last FROM (SELECT DISTINCT conv_id, chunk FROM r) UNION ALL SELECT r.conv_id, r.chunk, r.k, sha256(c.last || r.receipt) FROM c JOIN r ON r.conv_id = c.conv_id AND r.chunk = c.chunk AND r.k = c.k + 1) SELECT conv_id, chunk, max(k) AS n, arg_max(last, k) AS last FROM c GROUP BY ALL"
+    "c AS (SELECT conv_id, chunk, 0::BIGINT AS k, repeat('0', 64) AS last FROM (SELECT DISTINCT conv_id, chunk FROM r) UNION ALL SELECT r.conv_id, r.chunk, r.k, sha256(c.last || r.receipt) FROM c JOIN r ON r.conv_id = c.conv_id AND r.chunk = c.chunk AND r.k = c.k + 1), "
+    "h AS (SELECT conv_id, chunk, max(k) AS n, arg_max(last, k) AS last FROM c GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY chunk) AS j FROM h), "
+    "d AS (SELECT conv_id, 0::BIGINT AS j, 0::BIGINT AS n, repeat('0', 64) AS last FROM (SELECT DISTINCT conv_id FROM o) UNION ALL SELECT o.conv_id, o.j, (d.n + o.n)::BIGINT, sha256(d.last || o.last) FROM d JOIN o ON o.conv_id = d.conv_id AND o.j = d.j + 1) SELECT conv_id, max(j) AS chunks, arg_max(n, j) AS n, arg_max(last, j) AS last FROM d GROUP BY conv_id"
 )
 def receipt_chains(spark, sf_dir):
-    """A hash chain over each conversation's chunks of 64 turns."""
+    """A hash chain over each conversation: one over each chunk of 64 turns, and one over the chunks' last hashes."""
     c = table(spark, sf_dir, "conversations").withColumn("chunk", F.expr("turn div 64"))
-    return provenance.chains(c, ["conv_id", "chunk"], "turn", sha("receipt", F.col("conv_id"), F.col("turn"), F.col("role")))
+    heads = provenance.chains(c, ["conv_id", "chunk"], "turn", sha("receipt", F.col("conv_id"), F.col("turn"), F.col("role")))
+    return provenance.chains(heads, ["conv_id"], "chunk", F.col("last"), "n").select("conv_id", F.col("n").alias("chunks"), F.col("total").alias("n"), "last")
 
 
 @query("SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS missing, count(*) - count(DISTINCT turn) AS repeated FROM conversations GROUP BY conv_id")
@@ -81,7 +89,10 @@ def frontier_contiguity(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 - n).alias("missing"), (F.count("*") - n).alias("repeated"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE leaf AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, sha256(concat_ws(chr(0), 'leaf', p_partkey::VARCHAR, p_name)) AS h FROM part), "
+    "up AS (SELECT 0 AS level, i, h, (SELECT count(*) FROM leaf) AS n FROM leaf UNION ALL SELECT level + 1, i // 2, sha256(min_by(h, i) || max_by(h, i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY level, i // 2, n) SELECT h AS root FROM up WHERE n = 1"
+)
 def merkle_root(spark, sf_dir):
     """One root over all part rows' hashes, by number."""
     p = table(spark, sf_dir, "part")

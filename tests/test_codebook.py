@@ -1,14 +1,18 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import codebook
 
 
-def test_prototypes_are_balanced_and_far_apart():
-    p = codebook.prototypes(10, 32, 1)
-    assert set(np.unique(p)) == {-1.0, 1.0} and (p.sum(axis=0) <= 0).all()
-    inner = np.abs(p @ p.T - 32 * np.eye(10))
-    assert inner.max() < 20 and (p == codebook.prototypes(10, 32, 1)).all()
+@pytest.mark.parametrize(("n", "bits"), [(10, 16), (10, 32), (24, 32), (80, 64), (1, 16)])
+def test_prototypes_are_far_apart(n, bits):
+    p = codebook.prototypes(n, bits)
+    assert len(set(p)) == n and all(0 <= x < 1 << bits for x in p) and p == codebook.prototypes(n, bits)
+    if n > 1:
+        assert min((a ^ b).bit_count() for i, a in enumerate(p) for b in p[:i]) >= bits // 4
+    with pytest.raises(ValueError, match="codes"):
+        codebook.prototypes(1 << 12, 3)
 
 
 def test_strict_tables_fall():

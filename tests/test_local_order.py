@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.operators import local_order, subbag
 
@@ -41,17 +42,40 @@ def test_prefix_closes_ties_and_overlaps_and_refuses_more():
         local_order.closed_prefix(score, score - 2, score + 2, 1, 3)
 
 
-def test_subbags_follow_the_generator():
-    mask = (1 << 64) - 1
+def test_subbags_lose_no_row_and_follow_hashes(spark):
+    import hashlib
 
-    def one(i, h, seed):
-        x = i ^ (h * subbag.GOLDEN & mask) ^ seed
-        x = (x ^ x >> 30) * subbag.FIRST & mask
-        x = (x ^ x >> 27) * subbag.SECOND & mask
-        return ((x ^ x >> 31) >> 11) / (1 << 53)
+    def hashed(h, i):
+        return hashlib.sha256(f"subbag-v1\x0017\x00{h}\x00{i}".encode()).hexdigest()[:16]
 
-    ids = np.arange(0, 4000, 37)
-    got = subbag.members(ids, 3, 0.2, 17)
-    for row, i in zip(got, ids.tolist()):
-        want = [one(i, h, 17) < 0.2 for h in range(3)]
-        assert row.tolist() == (want if any(want) else [h == (i + 17) % 3 for h in range(3)])
+    for keep in (0.0, 0.3, 0.8, 1.0):
+        for r in spark.range(0, 500, 1, 3).select("id", subbag.subbag(F.col("id"), 3, keep).alias("heads")).collect():
+            own = [hashed(h, r.id) for h in range(3)]
+            want = sum(1 << h for h in range(3) if own[h] < subbag.threshold(keep))
+            assert r.heads == (want or 1 << own.index(min(own)))
+
+
+def test_query_meets_intervals_and_equals_pairwise_definition(spark):
+    """local_partial_order against the definition by pairs, from the same rows."""
+    import pandas as pd
+
+    from bitloom.plans import local
+
+    seen = []
+    decode = local_order.decode
+    local.local_order.decode = lambda rows, window: seen.append(rows.cache()) or decode(rows, window)
+    try:
+        got = {(r.qid, r.did): r.tie_group for r in local.local_partial_order(spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        local.local_order.decode = decode
+    rows = seen[0].toPandas()
+    assert (rows.high > rows.low).any()
+    some = sorted({q for q, _ in got})[:12]
+    for q in some:
+        g = rows[rows.qid == q].sort_values(["score", "did"], ascending=[False, True], ignore_index=True)
+        n = sum(1 for a, _ in got if a == q)
+        assert n >= 64 and (n == len(g) or g.score[n] < g.score[63])
+        g = g.iloc[:n]
+        want = plain_groups(*(g[c].to_numpy(float) for c in ("low", "high")), np.stack(g.relevance.to_list()), np.stack(g.graded.to_list()))
+        assert [got[q, d] for d in g.did] == want
+    assert isinstance(rows, pd.DataFrame) and some
