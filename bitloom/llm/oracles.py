@@ -18,9 +18,8 @@ lines AS (SELECT k, l, regexp_extract_all(l, '{_WORD}') AS lw FROM (SELECT k, un
 judged AS (SELECT k, l, len(lw) AS n,
   100 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > 15 * list_sum([length(x) FOR x IN lw])
   OR 2 * (length(l) - length(replace(l, '!', ''))) > len(lw)
-  OR 5 * len([x FOR x IN lw IF list_contains({_LIST(quality.BARS)}, x)]) >= len(lw)
-  OR (len(lw) < 5 AND NOT list_contains({_LIST(quality.TERMINALS)}, right(lw[-1], 1)))
-  OR (len(lw) <= 40 AND regexp_matches(lower(l), '{quality.BOILERPLATE}'))
+  OR ((len(lw) < 5 OR 5 * len([x FOR x IN lw IF list_contains({_LIST(quality.BARS)}, x)]) >= len(lw)) AND NOT list_contains({_LIST(quality.TERMINALS)}, right(lw[-1], 1)))
+  OR (len(lw) <= 40 AND regexp_matches(lower(l), '{quality.BOILERPLATE}')) OR (len(lw) <= {quality.SHORT_LINE} AND regexp_matches(lower(l), '{quality.SHORT_BOILERPLATE}'))
   OR (len(lw) >= 8 AND 3 * list_sum([(lw[i] = lw[i + 1])::INTEGER FOR i IN range(1, len(lw))]) > len(lw))
   OR NOT regexp_matches(l, '\p{{L}}') AS fails FROM lines WHERE len(lw) > 0),
 per AS (SELECT k, count(*) - count(DISTINCT l) AS dups, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY k),

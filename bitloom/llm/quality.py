@@ -17,13 +17,15 @@ from .common import SPACES, with_results
 SYMBOLS = b"#*$%&|<>"
 BARS = ("|", "»", "›", "•", "·", "::", "-", "/")
 TERMINALS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", ")", "。", "！", "？")
-#: What boilerplate lines say, in lower case.
+#: What boilerplate lines say, in lower case; and what only short ones mean so, as plain sentences say it too.
 BOILERPLATE = (
-    "all rights reserved|licensed under|released under the|privacy policy|cookie policy|cookies|terms of use|terms of service"
-    "|enable javascript|copyright|©|lorem ipsum|click here|subscribe to|sign in|sign up|log in|read more|share this|skip to content"
+    "all rights reserved|licensed under|released under the|privacy policy|cookie policy|terms of use|terms of service"
+    "|enable javascript|©|lorem ipsum|click here|skip to content"
 )
+SHORT_BOILERPLATE = "cookies|copyright|subscribe to|sign in|sign up|log in|read more|share this"
+SHORT_LINE = 6
 WINDOW = 8
-_SAYS = re.compile(BOILERPLATE)
+_SAYS, _SAYS_SHORTLY = re.compile(BOILERPLATE), re.compile(SHORT_BOILERPLATE)
 _MIX = np.random.default_rng(20261128).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 _BARS = frozenset(x.encode() for x in BARS)
 
@@ -52,18 +54,17 @@ def line_fails(line: str, data: bytes, words: list[bytes]) -> bool:
     """Whether a line that has words breaks a rule.
 
     Punctuation: over 15 symbols in 100 characters of words, more than one "!" for two words, no letter, or under five words
-    and no final mark. Navigation: a fifth of the words or more are separators. Boilerplate: up to 40 words, with one of
-    BOILERPLATE; or eight words or more, of which over a third equal the word before.
+    and no final mark. Navigation: a fifth of the words or more are separators, and no final mark. Boilerplate: up to 40 words, with one
+    of BOILERPLATE, or up to SHORT_LINE words, with one of SHORT_BOILERPLATE. Repetition: eight words or more, of which over a third
+    equal the word before.
     """
     n = len(words)
     chars = len(line) - len(data) + len(data.translate(None, SPACES))
     if 100 * (len(data) - len(data.translate(None, SYMBOLS))) > 15 * chars or 2 * data.count(b"!") > n:
         return True
-    if 5 * sum(w in _BARS for w in words) >= n:
+    if (n < 5 or 5 * sum(w in _BARS for w in words) >= n) and not words[-1].decode().endswith(TERMINALS):
         return True
-    if n < 5 and not words[-1].decode().endswith(TERMINALS):
-        return True
-    if n <= 40 and _SAYS.search(line.lower()):
+    if n <= 40 and _SAYS.search(line.lower()) or n <= SHORT_LINE and _SAYS_SHORTLY.search(line.lower()):
         return True
     if n >= 8 and 3 * sum(map(eq, words, words[1:])) > n:
         return True

@@ -50,3 +50,11 @@ def test_query_counts_equal_plain_ones(spark, sf):
         assert r.n_dup_lines == len(lines) - len(set(lines))
         if len(words) < 400:
             assert r.n_repeat_words == plain_repeats(words)
+
+
+def test_plain_sentences_stay_and_boilerplate_goes():
+    fails = lambda line: quality.line_fails(line, line.encode(), line.encode().split())
+    plain = ["She baked cookies with her two sons on a rainy Sunday afternoon.", "We log in the northern forest from May to the first snow.",
+             "The old - or rather ancient - house - was sold.", "He tried to sign in for the race, but the desk was closed.", "A copyright is not a patent, as the judge explained to both sides."]
+    junk = ["Home | News | Sport | Weather", "Sign in", "We use cookies", "Copyright 2020 Some Company Ltd", "Read more", "Home » Products » Shoes", "Please enable JavaScript to use all parts of this page.", "All rights reserved by the owner of this site."]
+    assert not any(map(fails, plain)) and all(map(fails, junk))
