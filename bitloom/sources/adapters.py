@@ -48,4 +48,8 @@ _KINDS: dict[str, Callable[..., DataFrame]] = {"indexed": indexed, "captioned":
 
 
 def adapter(name: str) -> Callable[..., DataFrame]:
-    return _KINDS[name.strip().lower().replace("-", "").replace("_", "").replace(" ", "")]
+    """The function for a kind's name, however it is written; any other name is an error that says which there are."""
+    kind = name.strip().lower().replace("-", "").replace("_", "").replace(" ", "")
+    if kind not in _KINDS:
+        raise ValueError(f"no kind {name!r}: there are {', '.join(sorted(_KINDS))}")
+    return _KINDS[kind]

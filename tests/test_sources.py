@@ -54,6 +54,8 @@ def test_adapters(spark):
     assert {r.source_id: (r.texts, r.labels) for r in got.collect()} == {1: (["a", "b"], [5]), 4: (["d"], [2])}
     got = adapters.adapter(" tagged ")(mk([(1, "cat"), (1, "zzz"), (2, "zzz")], "photo_id int, tag string"), mk([("cat",)], "tag string"), mk([(1, 4)], "photo_id int, label int"))
     assert [tuple(r) for r in got.collect()] == [(1, ["a photo of cat"], [4])]
+    with pytest.raises(ValueError, match="captioned, indexed, tagged"):
+        adapters.adapter("other")
 
 
 def test_labels_open_after_ranks_are_frozen(spark):
