@@ -12,6 +12,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
+def label_mask(ids: Column) -> Column:
+    """A set of ids as the bits of a long; null where an id is below 0, above 62 or null."""
+    fits = F.forall(ids, lambda i: i.isNotNull() & i.between(0, 62))
+    return F.when(fits, F.aggregate(ids, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))))
+
+
+def mask_jaccard(a: Column, b: Column) -> Column:
+    """`jaccard` of two masks; null where either is."""
+    both, either = F.bit_count(a.bitwiseAND(b)), F.bit_count(a.bitwiseOR(b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(either > 0, both / either).otherwise(F.lit(0.0))
+
+
 def active(posterior: Column, threshold: Column | float) -> Column:
     """Zero-based labels that reach the threshold; the first of the greatest where none does."""
     found = F.filter(F.transform(posterior, lambda p, i: F.when(p >= threshold, i).otherwise(F.lit(-1))), lambda i: i >= 0)

@@ -45,12 +45,13 @@ def shells(q: DataFrame, d: DataFrame) -> DataFrame:
     """(direction, bits, qid, r): n rows, m relevant ones and the sum of label-set gains.
 
     Gallery rows with the same code and labels are counted first, so that short codes give few cells however long the gallery is.
+    Label sets meet as bit masks, and as arrays only where an id is beyond a mask.
     """
-    from ..functions.labels import jaccard
+    from ..functions.labels import jaccard, label_mask, mask_jaccard
 
-    cells = d.groupBy("dbits", "ddirection", "dcode", "dlabels").agg(F.count("*").alias("c"))
-    gain = jaccard(F.col("qlabels"), F.col("dlabels"))
-    found = pairs(q, cells).withColumn("gain", gain)
+    cells = d.groupBy("dbits", "ddirection", "dcode", "dlabels").agg(F.count("*").alias("c")).withColumn("dmask", label_mask(F.col("dlabels")))
+    gain = F.coalesce(mask_jaccard(F.col("qmask"), F.col("dmask")), jaccard(F.col("qlabels"), F.col("dlabels")))
+    found = pairs(q.withColumn("qmask", label_mask(F.col("qlabels"))), cells).withColumn("gain", gain)
     return found.groupBy("direction", "bits", "qid", "r").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("gain") > 0, F.col("c")).otherwise(0)).alias("m"), F.sum(F.col("gain") * F.col("c")).alias("g"))
 
 

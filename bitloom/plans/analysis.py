@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.quantile import quantiles
 from ..sources.tables import table
 from .registry import query
 from .retrieval import rounded
@@ -13,8 +14,10 @@ from .retrieval import rounded
 @query("SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag")
 def distribution(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem")
-    p = lambda q: F.round(F.percentile("l_extendedprice", F.lit(q)), 4)
-    return x.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), p(0.9).alias("p90"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    q = quantiles(x, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    whole = x.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    # a group a row
+    return rounded(whole.join(q, whole.l_returnflag.eqNullSafe(q.l_returnflag), "left").drop(q.l_returnflag), 4).select("l_returnflag", "mean", "p25", "median", "p75", "p90", "low", "high")
 
 
 _CELLS = """WITH cells AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS line, 'net' AS metric, sum(l_extendedprice * (1 - l_discount)) AS value, sum(l_extendedprice) AS base, l_suppkey % 3 AS seed FROM lineitem GROUP BY ALL

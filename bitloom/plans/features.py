@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..operators import moments, rank
+from ..operators.quantile import quantiles
 from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import ITEMS, query
@@ -21,14 +22,14 @@ def normalized_vectors(spark, sf_dir):
 
 @query("WITH x AS (SELECT unnest(range(0, 64)) AS dim, embedding FROM embeddings) SELECT dim::INTEGER AS dim, round(quantile_cont(embedding[dim + 1]::DOUBLE, 0.5), 8) AS median FROM x GROUP BY dim")
 def dimension_medians(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.lit(0.5)).alias("median")))
+    return rounded(quantiles(table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("dim", "x")), ["dim"], "x", {"median": 0.5}))
 
 
 @query("WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS dim, embedding FROM embeddings), m AS (SELECT dim, quantile_cont(embedding[dim + 1]::DOUBLE, 0.5) AS med FROM x GROUP BY dim) SELECT vec_id, sum((embedding[dim + 1]::DOUBLE >= med)::INTEGER)::BIGINT AS ones FROM x JOIN m USING (dim) GROUP BY vec_id")
 def median_codes(spark, sf_dir):
     """Bits by each dimension's median: the medians are one row of as many numbers as dimensions."""
     e = table(spark, sf_dir, "embeddings")
-    med = e.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.lit(0.5)).alias("m"))
+    med = quantiles(e.select(F.posexplode("embedding").alias("dim", "x")), ["dim"], "x", {"m": 0.5})
     row = med.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda z: z["m"]).alias("med"))
     bits = F.zip_with("embedding", "med", lambda x, m: (x.cast("double") >= m).cast("long"))
     return e.crossJoin(F.broadcast(row)).select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b).alias("ones"))

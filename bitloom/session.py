@@ -1,8 +1,8 @@
-"""A session with the settings that the tests and the benchmark use."""
+"""A session with the settings that the tests and the benchmark use, and the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
@@ -17,3 +17,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the context's checkpoint folder, or what spark.checkpoint.dir names.
+
+    Where neither is set, a local master, as in tests, gets a folder of this machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or "file:///tmp/checkpoints/bitloom"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()

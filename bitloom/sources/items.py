@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,33 +25,33 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def least_hashes(df: DataFrame, role: str, n: int, flag: str) -> DataFrame:
-    """`df` with a boolean `flag`: whether the row's hash for `role` is among the n least, ties by id.
+def least_hashes(df: DataFrame, role: str, n: int | Callable[[int], int], flag: str, among: str = "true") -> DataFrame:
+    """`df` with a boolean `flag`: whether the row meets `among` and its hash for `role` is among the n least of those rows, ties by id.
 
-    Instead of one global sort: rows are counted by the hash's first three hex digits (4,096 values at most), and only the bucket in
-    which the n-th lies is ordered.
+    n may be a function of the number of all rows. Instead of a global sort, rows are counted by the hash's first three hex digits (4,096
+    values at most), and the one row that is the last within is found in its bucket; `flag` then compares with constants, so that no
+    row is moved or joined.
     """
-    hashed = df.withColumns({"__h": sha(SPLIT, SEED, "embeddings", role, F.col("id"))})
-    hashed = hashed.withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    hashed = df.withColumn("__h", sha(SPLIT, SEED, "embeddings", role, F.col("id"))).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    counts = hashed.groupBy("__b").agg(F.count("*").alias("all"), F.count_if(F.expr(among)).alias("own")).collect()
+    n = n if isinstance(n, int) else n(sum(r["all"] for r in counts))
     seen, edge, inside = 0, 4096, 0
-    for r in hashed.groupBy("__b").count().orderBy("__b").collect():
-        if seen + r["count"] > n:
+    for r in sorted(counts):
+        if seen + r["own"] > n:
             edge, inside = r["__b"], n - seen
             break
-        seen += r["count"]
-    last = hashed.where(F.col("__b") == edge).orderBy("__h", "id").limit(inside).select("__h", "id").orderBy(F.desc("__h"), F.desc("id")).first() if inside else None
+        seen += r["own"]
     chosen: Column = F.col("__b") < edge
-    if last is not None:
+    if inside:
+        last = hashed.where((F.col("__b") == edge) & F.expr(among)).select("__h", "id").orderBy("__h", "id").offset(inside - 1).limit(1).first()
         chosen = chosen | ((F.col("__b") == edge) & (F.struct("__h", "id") <= F.struct(F.lit(last["__h"]).alias("__h"), F.lit(last["id"]).alias("id"))))
-    return hashed.withColumn(flag, chosen).drop("__h", "__b")
+    return hashed.withColumn(flag, F.expr(among) & chosen).drop("__h", "__b")
 
 
 def with_split(df: DataFrame) -> DataFrame:
     """Roles by content hash: a tenth are queries, a quarter of all are training rows among the rest, and all the rest is the gallery."""
-    n = df.count()
-    df = least_hashes(df, "query", n // 10, "is_q")
-    rest = least_hashes(df.where(~F.col("is_q")).select("id"), "train", n // 4, "is_t")
-    return df.join(rest, "id", "left").withColumn("is_t", F.coalesce("is_t", F.lit(False))).withColumn("is_d", ~F.col("is_q"))
+    df = least_hashes(df, "query", lambda total: total // 10, "is_q")
+    return least_hashes(df, "train", lambda total: total // 4, "is_t", "not is_q").withColumn("is_d", ~F.col("is_q"))
 
 
 def codes(df: DataFrame) -> DataFrame:

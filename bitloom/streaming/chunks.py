@@ -11,19 +11,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 _SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of its own below the one that the cluster shares: the context's checkpoint folder, or what spark.checkpoint.dir names.
-
-    Where neither is set, a local master, as in tests, gets a folder of this machine; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not context.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or 'file:///tmp/checkpoints/bitloom'}/stream-{uuid.uuid4().hex}"
+    """A folder of its own below the one that the cluster shares."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def evaluate(spark: SparkSession, path: str, folder: str, files: int = 4) -> None:

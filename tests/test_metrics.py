@@ -135,3 +135,31 @@ def test_merkle_root_and_holes(spark):
     assert provenance.merkle_levels(df).first().root == now[0]
     gaps = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("b", 9)], "k string, n long")
     assert [tuple(r) for r in provenance.holes(gaps, "k", "n").collect()] == [("a", 2, 4)]
+
+
+def test_quantiles_equal_sorted_values(spark):
+    from bitloom.operators.quantile import quantiles
+
+    rng = np.random.default_rng(5)
+    groups = {"ties": [1.0] * 900 + [2.0] * 100, "one": [7.5], "wide": (10.0 ** rng.uniform(-9, 9, 3001)).tolist(), None: rng.normal(0, 1, 2000).tolist(), "none": []}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("wide", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
+    for width in (4e-4, 0.0):  # too narrow a bracket is made wider
+        got = {r.k: list(r)[1:] for r in quantiles(df, ["k"], "x", shares, width or 1e-9).collect()}
+        assert got.keys() == {"ties", "one", "wide", None}
+        for k, found in got.items():
+            assert np.allclose(found, np.quantile(groups[k], list(shares.values())), rtol=1e-12)
+    assert quantiles(df.where("false"), ["k"], "x", shares).count() == 0
+    whole = quantiles(df, [], "x", {"m": 0.5}).first()
+    assert whole.m == pytest.approx(np.quantile(sum(groups.values(), []), 0.5))
+    assert quantiles(df.where("false"), [], "x", {"m": 0.5}).collect() == [(None,)]
+
+
+def test_masks_give_the_arrays_jaccard(spark):
+    sets = [[], [0], [1, 62], [0, 1, 2], [62], [63], [-1, 2], [1, 2]]
+    df = spark.createDataFrame([(a, b) for a in sets for b in sets], "a array<int>, b array<int>")
+    mask = L.mask_jaccard(L.label_mask(F.col("a")), L.label_mask(F.col("b")))
+    for r in df.select("a", "b", mask.alias("m"), L.jaccard(F.col("a"), F.col("b")).alias("j")).collect():
+        beyond = any(not 0 <= i <= 62 for i in [*r.a, *r.b])
+        assert r.m is None if beyond else r.m == r.j
