@@ -72,3 +72,54 @@ total AS (SELECT sum(yes) AS a, sum(no) AS r FROM bins),
 run AS (SELECT bin, sum(yes) OVER (ORDER BY bin) - yes AS missed, r - (sum(no) OVER (ORDER BY bin) - no) AS passed, a, r FROM bins, total),
 limits AS (SELECT (SELECT bin FROM run WHERE a > 0 AND r > 0 ORDER BY missed / a + passed / r, bin LIMIT 1) AS threshold)
 SELECT page_id, host, path, rule, coalesce(m.says, CASE WHEN threshold IS NULL OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score FROM pages_ JOIN marked m USING (u) JOIN scored USING (u), limits"""
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs over {name}0 (tree, i, d): nodes by level, and of each node what stands before and after it among its siblings.
+
+    A tree of one node stays as it is. Unrolled: 8**levels leaves at most.
+    """
+    out = ""
+    for k in range(levels):
+        out += f""",
+{name}m{k} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}),
+{name}s{k} AS (SELECT tree, i, CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l,
+  CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r FROM {name}m{k}),
+{name}{k + 1} AS (SELECT tree, i // 8 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {name}m{k} GROUP BY tree, i // 8)"""
+    return out
+
+
+def _way(name: str, of: str, levels: int) -> str:
+    """CTEs that take {of} (i, tree, proof, f) up the tree: proofs grow, and f becomes the folded digest."""
+    out = ""
+    for k in range(levels):
+        out += f""",
+{name}w{k} AS (SELECT w.* REPLACE (proof || coalesce(l, '') || coalesce(r, '') AS proof, CASE WHEN l IS NULL THEN f ELSE sha256(l || f || r) END AS f, w.i // 8 AS i) FROM {of if k == 0 else f"{name}w{k - 1}"} w JOIN {name}s{k} s ON w.tree = s.tree AND w.i = s.i)"""
+    return out
+
+
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+#: crc32 of a decimal id, bit by bit over the polynomial 0xEDB88320.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT FOR _ IN range(8)]), lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"""
+
+ORACLES["op13_merkle_manifest"] = rf"""
+WITH d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, xor({_CRC}, 4294967295) AS crc FROM documents),
+leaves AS (SELECT doc_id, lang, {_LEAF("text")} AS leaf, CASE WHEN crc % 3 = 0 THEN {_LEAF("low")} ELSE {_LEAF("text")} END AS claimed FROM d),
+ranked AS (SELECT *, coalesce('+' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+a0 AS (SELECT tree, i, leaf AS d FROM ranked){_tree("a", 9)},
+b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, d, tree AS own FROM a9),
+b00 AS (SELECT * FROM b0){_tree("b", 3).replace("FROM b0)", "FROM (SELECT tree, i, d FROM b00))", 1)},
+start AS (SELECT *, '' AS proof, claimed AS f FROM ranked){_way("a", "start", 9)},
+then_ AS (SELECT w.* REPLACE (b.i AS i, 0 AS tree), b.d AS subroot FROM aw8 w JOIN b00 b ON b.own = w.tree){_way("b", "then_", 3)}
+SELECT doc_id, leaf, subroot, b3.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b3.d AS verified FROM bw2, b3"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, mixing, pieces, quality, search, simhash, toxicity, urls
+from . import bpe, fim, language, lm, merkle, mixing, pieces, quality, search, simhash, toxicity, urls
 from .common import held_out, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,4 +97,21 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, asked).withColumn("score", F.round("score", 6))
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fim.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fim.restore(arranged).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(held_out(F.col("doc_id"), 3, 0), lower).otherwise(F.col("text"))
+    claims = [merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), t).alias(name) for t, name in ((F.col("text"), "leaf"), (text, "claimed"))]
+    found = merkle.manifest(docs.select("doc_id", "lang", *claims)).withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("proof"), F.col("places")))
+    proof = F.sha2(F.concat_ws("", "proof").cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 from . import oracles  # noqa: E402, F401  fills ORACLES
