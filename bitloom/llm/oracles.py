@@ -73,6 +73,17 @@ run AS (SELECT bin, sum(yes) OVER (ORDER BY bin) - yes AS missed, r - (sum(no) O
 limits AS (SELECT (SELECT bin FROM run WHERE a > 0 AND r > 0 ORDER BY missed / a + passed / r, bin LIMIT 1) AS threshold)
 SELECT page_id, host, path, rule, coalesce(m.says, CASE WHEN threshold IS NULL OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score FROM pages_ JOIN marked m USING (u) JOIN scored USING (u), limits"""
 
+ORACLES["op11_substring_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (SELECT k, doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS w FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+gone AS (SELECT k, list(i ORDER BY i) AS starts FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < doc_id GROUP BY k),
+places AS (SELECT k, list_distinct(flatten([range(i, i + 50) FOR i IN starts])) AS p FROM gone),
+edges AS (SELECT k, i AS s, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM (SELECT k, unnest(starts) AS i FROM gone)),
+spans AS (SELECT k, (min(s) - 1)::INTEGER AS start, (max(s) + 49)::INTEGER AS stop FROM (SELECT *, count(*) FILTER (before IS NULL OR s > before + 50) OVER (PARTITION BY k ORDER BY s) AS run FROM edges) GROUP BY k, run),
+per AS (SELECT k, string_agg(start || '-' || stop, ' ' ORDER BY start) AS removed FROM spans GROUP BY k),
+kept AS (SELECT k, sha256(array_to_string([x FOR x, i IN ws IF NOT list_contains(coalesce(p, []), i)], ' ')) AS h, coalesce(len(p), 0) AS n FROM d LEFT JOIN places USING (k))
+SELECT doc_id, len(ws)::BIGINT AS n_words, n::BIGINT AS n_removed, h AS kept_sha256, coalesce(removed, '') AS removed FROM d JOIN kept USING (k) LEFT JOIN per USING (k)"""
+
 ORACLES["op12_fill_in_middle"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 n AS (SELECT *, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),

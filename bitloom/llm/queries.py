@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, language, lm, merkle, mixing, pieces, quality, search, simhash, toxicity, urls
+from . import bpe, fim, language, lm, merkle, mixing, pieces, quality, search, simhash, substrings, toxicity, urls
 from .common import held_out, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,13 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, asked).withColumn("score", F.round("score", 6))
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.concat_ws(" ", F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed"))
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     arranged = fim.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
