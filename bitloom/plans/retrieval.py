@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import labels as L
 from ..functions.series import with_series
-from ..operators import codebook, metrics, rank
+from ..operators import codebook, metrics, nearest, rank
 from ..sources.items import codes, items, with_split
 from .registry import CODES, ITEMS, ORACLES, PAIRS, SERIES, query
 
@@ -27,6 +27,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.pairs(*rank.directed(_coded(spark, sf_dir)))
 
 
+def nearest_rows(spark: SparkSession, sf_dir: str, k: int, bits: tuple[int, ...] = C.WIDTHS) -> DataFrame:
+    """Each query of a direction and width with the gallery rows up to its k-th distance r, ties included; by multi-index hashing."""
+    q, d = rank.directed(_coded(spark, sf_dir).where(F.col("bits").isin(*bits)))
+    d = d.select(F.col("ddirection").alias("direction"), F.col("dbits").alias("bits"), "did", F.col("dcode").alias("code"))
+    return nearest.nearest(q.select("direction", "bits", "qid", "qcode"), d, k, "bits", ["direction", "bits"])
+
+
 def rounded(df: DataFrame, places: int = 8) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -106,7 +113,7 @@ def stable_order(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, o AS (SELECT direction, bits, qid, did, r, rank() OVER (PARTITION BY direction, bits, qid ORDER BY r) AS place FROM pairs) SELECT direction, bits, qid, did, r, place FROM o WHERE place <= 10")
 def top_with_ties(spark, sf_dir):
-    return rank.first_with_ties(_pairs(spark, sf_dir), 10, "r").select("direction", "bits", "qid", "did", "r", F.col("place").cast("long").alias("place"))
+    return rank.first_with_ties(nearest_rows(spark, sf_dir, 10), 10, "r").select("direction", "bits", "qid", "did", "r", F.col("place").cast("long").alias("place"))
 
 
 _DETAIL = f"WITH {PAIRS}, det AS (SELECT p.*, (bit_count(xor(q.hi & 65535, d.hi & 65535)))::INTEGER AS detail FROM pairs p JOIN codes q ON q.id = p.qid AND q.bits = 64 AND q.modality = CASE WHEN p.direction = 'i2t' THEN 'image' ELSE 'text' END JOIN codes d ON d.id = p.did AND d.bits = 64 AND d.modality = CASE WHEN p.direction = 'i2t' THEN 'text' ELSE 'image' END WHERE p.bits = 16)"
