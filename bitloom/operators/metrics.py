@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import discounts, harmonic, with_series, without_series
+from .exact import exact_sums, ordered_sums
 
 CUTOFFS = (50, 100, 1000)
 KEYS = ("direction", "bits", "qid")
@@ -38,12 +39,12 @@ def query_metrics(shells: DataFrame, cutoffs: Sequence[int] = CUTOFFS, keys: Seq
     h = harmonic(st + n) - harmonic(st)
     alpha = F.when(n > 1, (m - 1) / F.when(n > 1, n - 1)).otherwise(0.0)
     ap = F.when(m > 0, (m / n) * ((prev + 1) * h + alpha * (n - (st + 1) * h))).otherwise(0.0)
-    sums: list[Column] = [F.first("relevant").alias("relevant"), F.first("total").alias("total"), F.sum(ap).alias("ap")]
+    terms: dict[str, Column] = {"ap": ap}
     for k in cutoffs:
         take = F.greatest(F.lit(0), F.least(n, F.least(F.lit(k), total) - st))
         span = F.when(take > 0, discounts(st + take) - discounts(st)).otherwise(0.0)
-        sums += [F.sum(take * m / n).alias(f"hit_{k}"), F.sum(m / n * span).alias(f"cum_{k}"), F.sum(F.col("g") / n * span).alias(f"dcg_{k}")]
-    out = with_series(run.groupBy(*keys).agg(*sums))
+        terms |= {f"hit_{k}": take * m / n, f"cum_{k}": m / n * span, f"dcg_{k}": F.col("g") / n * span}
+    out = with_series(ordered_sums(run, keys, order, terms, ("relevant", "total")))
     some = F.col("relevant") > 0
     per = lambda x: F.when(some, x).otherwise(0.0)
     cols = {"ap": per(F.col("ap") / F.col("relevant"))}
@@ -56,11 +57,11 @@ def query_metrics(shells: DataFrame, cutoffs: Sequence[int] = CUTOFFS, keys: Seq
 
 
 def means(per_query: DataFrame, *by: str) -> DataFrame:
-    """Means over queries: those without a relevant row count as 0, and are left out of map_valid."""
-    names = [c for c in per_query.columns if c.startswith(("p_", "r_", "ndcg_"))]
-    return per_query.groupBy(*by).agg(
-        F.count("*").alias("queries"), F.avg("ap").alias("map"), F.avg(F.when(F.col("relevant") > 0, F.col("ap"))).alias("map_valid"), *(F.avg(c).alias(c) for c in names)
-    )
+    """Means over queries: those without a relevant row count as 0, and are left out of map_valid. Exact, then rounded once."""
+    names = ["map", "map_valid", *(c for c in per_query.columns if c.startswith(("p_", "r_", "ndcg_")))]
+    found = exact_sums(per_query.withColumns({"map": F.col("ap"), "map_valid": F.when(F.col("relevant") > 0, F.col("ap"))}), by, names)
+    own = lambda c, v: F.max(F.when(F.col("name") == c, F.col(v)))
+    return found.groupBy(*by).agg(own("map", "n").alias("queries"), *(own(c, "mean").alias(c) for c in names))
 
 
 def random_ap(total: Column, relevant: Column) -> Column:

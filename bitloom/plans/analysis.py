@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.exact import exact_sums
 from ..operators.quantile import quantiles
 from ..sources.tables import table
 from .registry import query
@@ -122,3 +123,17 @@ def paired_records(spark, sf_dir):
 @query("WITH e AS (SELECT user_id, event_type, value, (ts::DATE) AS day FROM events) SELECT event_type, count(*) AS cells, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, round(min(value), 6) AS low, round(avg(value), 6) AS mean, sum((value > 0)::INTEGER)::BIGINT AS improved, round(stddev_samp(value), 6) AS spread FROM e GROUP BY event_type")
 def audit_totals(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("cells"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 6).alias("low"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") > 0).alias("improved"), F.round(F.stddev("value"), 6).alias("spread"))
+
+
+_SUMMED = ("l_extendedprice", "l_discount", "net")
+
+
+@query(
+    "WITH x AS (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, '{c}' AS name, count({c}) AS n, round(fsum({c}), 4) AS total, round(fsum({c}) / count({c}), 8) AS mean, true AS within_half_ulp FROM x GROUP BY ALL" for c in _SUMMED)
+)
+def exact_totals(spark, sf_dir):
+    """Totals and means that are the doubles nearest to the exact ones, whatever the order of rows, and whether the stated error says so."""
+    x = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", "l_discount", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    found = exact_sums(x, ["l_returnflag", "l_linestatus"], _SUMMED)
+    return found.select("l_returnflag", "l_linestatus", "name", "n", F.round("total", 4).alias("total"), F.round("mean", 8).alias("mean"), (F.col("error") <= F.abs("total") * 2.0**-53).alias("within_half_ulp"))

@@ -11,14 +11,14 @@ from ..operators import codebook, metrics, moments, rank
 from ..sources.items import codes, items, with_split
 from ..sources.tables import table
 from .registry import CODES, ORACLES, query
-from .retrieval import rounded
+from .retrieval import _shells, rounded
 from .semantic import _POST, _shares
 
 
 @query(f"WITH pr AS ({ORACLES['precision_recall']}), s AS (SELECT direction, bits, grid, precision, lag(precision) OVER (PARTITION BY direction, bits ORDER BY grid) AS before FROM pr) SELECT direction, bits, round(sum((precision + before) / 2) / 100, 6) AS aupr FROM s GROUP BY ALL")
 def precision_recall_area(spark, sf_dir):
     """The trapezoid area under each macro-averaged curve: 101 points a curve."""
-    pr = metrics.precision_recall(rank.shells(*rank.directed(codes(with_split(items(spark, sf_dir))))))
+    pr = metrics.precision_recall(_shells(spark, sf_dir))
     before = F.lag("precision").over(Window.partitionBy("direction", "bits").orderBy("grid"))
     steps = pr.select("direction", "bits", ((F.round("precision", 8) + F.round(before, 8)) / 2).alias("step"))
     return steps.groupBy("direction", "bits").agg(F.round(F.sum("step") / 100, 6).alias("aupr"))

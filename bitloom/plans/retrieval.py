@@ -11,7 +11,7 @@ from ..functions import codes as C
 from ..functions import labels as L
 from ..functions.series import with_series
 from ..operators import codebook, metrics, nearest, rank
-from ..sources.items import codes, items, with_split
+from ..sources.items import codes, items, wide_codes, with_split
 from .registry import CODES, ITEMS, ORACLES, PAIRS, SERIES, query
 
 
@@ -19,8 +19,12 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes(with_split(items(spark, sf_dir)))
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_codes(with_split(items(spark, sf_dir)))
+
+
 def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.shells(*rank.directed(_coded(spark, sf_dir)))
+    return rank.nested_shells(_wide(spark, sf_dir))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +96,27 @@ def retrieval_metrics(spark, sf_dir):
     return rounded(metrics.means(metrics.query_metrics(_shells(spark, sf_dir)), "direction", "bits"))
 
 
+_J = ", ".join(f"round(CASE WHEN ideal_{k} > 0 THEN dcg_{k} / ideal_{k} ELSE 0 END, 8) AS jndcg_{k}" for k in metrics.CUTOFFS)
+
+
 @query(
-    f"WITH {PAIRS}{SERIES}, best AS (SELECT direction, bits, qid, gain, row_number() OVER (PARTITION BY direction, bits, qid ORDER BY gain DESC, did) AS k FROM graded), ideal AS (SELECT direction, bits, qid, sum(gain / log2(k + 1)) AS ideal FROM best WHERE k <= 50 GROUP BY ALL), "
-    "got AS (SELECT r.direction, r.bits, r.qid, sum(g / n * (b.dc - a.dc)) AS dcg FROM run r JOIN series a ON a.k = st JOIN series b ON b.k = st + greatest(0, least(n, least(50, total) - st)) GROUP BY ALL) "
-    "SELECT direction, bits, qid, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 8) AS jndcg_50 FROM got JOIN ideal USING (direction, bits, qid)"
+    f"WITH {PAIRS}{SERIES}, best AS (SELECT direction, bits, qid, gain, row_number() OVER (PARTITION BY direction, bits, qid ORDER BY gain DESC, did) AS k FROM graded), "
+    f"ideal AS (SELECT direction, bits, qid, {', '.join(f'coalesce(sum(gain / log2(k + 1)) FILTER (k <= {k}), 0) AS ideal_{k}' for k in metrics.CUTOFFS)} FROM best GROUP BY ALL), "
+    f"got AS (SELECT r.direction, r.bits, r.qid, {', '.join(f'sum(g / n * (b{k}.dc - a.dc)) AS dcg_{k}' for k in metrics.CUTOFFS)} FROM run r JOIN series a ON a.k = st "
+    + " ".join(f"JOIN series b{k} ON b{k}.k = st + greatest(0, least(n, least({k}, total) - st))" for k in metrics.CUTOFFS)
+    + f" GROUP BY ALL) SELECT direction, bits, qid, {_J} FROM got JOIN ideal USING (direction, bits, qid)"
 )
 def graded_ndcg(spark, sf_dir):
-    q, d = rank.directed(_coded(spark, sf_dir))
-    got = metrics.query_metrics(rank.shells(q, d), (50,))
-    cells = d.groupBy("dbits", "ddirection", "dlabels").agg(F.count("*").alias("c")).withColumn("dcode", F.lit(0).cast("long"))
-    gains = rank.pairs(q, cells).withColumn("gain", L.jaccard(F.col("qlabels"), F.col("dlabels"))).groupBy("direction", "bits", "qid", "gain").agg(F.sum("c").alias("n"))
-    out = got.join(metrics.ideal_gain(gains, 50), ["direction", "bits", "qid"])
-    return rounded(out.select("direction", "bits", "qid", F.when(F.col("ideal") > 0, F.col("dcg_50") / F.col("ideal")).otherwise(0.0).alias("jndcg_50")))
+    rows = _wide(spark, sf_dir)
+    got = metrics.query_metrics(rank.nested_shells(rows))
+    # the ideal order knows neither distances nor directions: queries meet the gallery's distinct label sets once
+    sets = rows.where("is_d").groupBy(F.col("labels").alias("dlabels")).agg(F.count("*").alias("c"))
+    q = rows.where("is_q").select(F.col("id").alias("qid"), F.col("labels").alias("qlabels"))
+    gains = rank.against_all(q, sets).groupBy("qid", L.jaccard(F.col("qlabels"), F.col("dlabels")).alias("gain")).agg(F.sum("c").alias("n"))
+    for k in metrics.CUTOFFS:
+        got = got.join(metrics.ideal_gain(gains, k, ("qid",)).withColumnRenamed("ideal", f"ideal_{k}"), "qid")
+    cut = lambda k: F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0).alias(f"jndcg_{k}")
+    return rounded(got.select("direction", "bits", "qid", *map(cut, metrics.CUTOFFS)))
 
 
 @query(f"WITH {PAIRS}, o AS (SELECT direction, bits, qid, did, r, row_number() OVER (PARTITION BY direction, bits, qid ORDER BY r, did) AS rank, dense_rank() OVER (PARTITION BY direction, bits, qid ORDER BY r) - 1 AS tie_group FROM pairs) SELECT * FROM o")

@@ -58,3 +58,8 @@ def codes(df: DataFrame) -> DataFrame:
     """One row for each item, modality and width; code is a long."""
     each = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(b).alias("bits"), code(F.col(m), b).alias("code")) for m in ("image", "text") for b in WIDTHS))
     return df.select(*df.columns, F.explode(each).alias("c")).select(*df.columns, "c.*")
+
+
+def wide_codes(df: DataFrame) -> DataFrame:
+    """One row for each item with its codes of the greatest width as image and text; smaller ones are the first bits of these."""
+    return df.select("id", "is_q", "is_t", "is_d", "label", "labels", *(code(F.col(m), max(WIDTHS)).alias(m) for m in ("image", "text")))
