@@ -3,8 +3,8 @@
 A window of `window` words is repeated if its words also start in a document with a smaller id. Which texts have to meet is found by
 anchors: the 16-gram of least hash in a window is a function of the window's words, so windows that are equal have equal anchors, at the
 same place. Consecutive windows with one anchor are a stretch of at most 84 words. Stretches whose anchor is in a single document are
-done with; of the others each distinct one is fetched once from the first document that has it, and the stretches of an anchor are a
-reference shard. A task builds the shard's suffix automaton, whose states know the first document that reaches them, and streams the
+done with, and where all stretches of an anchor are alike the first document is known. Of the others each distinct one is fetched once
+from the first document that has it, and the stretches of an anchor are a reference shard. A task builds the shard's suffix automaton, whose states know the first document that reaches them, and streams the
 stretches through it: where the match is as long as a window, the state tells in which document the window stands first.
 
 Automata are built where their shard is and not broadcast to all documents: repeated text grows with the corpus, and so would they. A
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, fresh, quoted, settle, with_results
 
-#: Words in a window and in an anchor; stretches of an anchor that one automaton takes.
-WINDOW, GRAM, CROWD = 50, 16, 1_000
+#: Words in a window and in an anchor; stretches of an anchor that one automaton takes; rows of a side that may be broadcast.
+WINDOW, GRAM, CROWD, FEW = 50, 16, 1_000, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
@@ -145,9 +145,18 @@ def _anchored(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, c long, id long, th long, s int, r int")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """`df`, which is checkpointed, as a join's side: broadcast if it has few rows, which are a few numbers each."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`rows` with the stretches `own` that `wanted` (id, th, a, c, s, r) has of them."""
-    return rows.join(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("a", "c", "s", "r")).alias("own")), ["id", "th"])
+    """`rows` with the stretches `own` that `wanted` (id, th, a, c, s, r) has of them. Texts that have none don't move, if few have."""
+    wanted = settle(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("a", "c", "s", "r")).alias("own")))
+    keys = wanted.select("id", "th")
+    if keys.count() <= FEW:
+        rows = rows.join(F.broadcast(keys), ["id", "th"], "left_semi")
+    return rows.join(wanted.hint("merge"), ["id", "th"])
 
 
 def _by_automata(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -166,8 +175,6 @@ def _by_automata(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, cut)], schema=cut)
 
     def shard(rows: list[tuple[int, int, list[bytes]]]) -> list[list[int]]:
-        if len(rows) == 1:
-            return [[rows[0][1]] * (len(rows[0][2]) - window + 1)]  # no other stretch to be found in
         automaton = Automaton()
         for _, doc, words in rows:
             automaton.add(words, doc)
@@ -222,18 +229,18 @@ def repeats(rows: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFr
     Rows of equal id and text are one. A window that only its own document or later ones have is not repeated.
     """
     found = _anchored(rows, window)
-    shared = found.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a")
-    met = settle(found.join(shared, "a").distinct())
-    own = met.groupBy("a", "c").agg(F.min(F.struct("id", "th", "s", "r")).alias("x")).select("a", "c", "x.*")
-    crowded = settle(own.groupBy("a").count().where(F.col("count") > crowd).select("a"))
-    n = crowded.count()
-    if n:
-        side = F.broadcast(crowded) if n <= 100_000 else crowded
-        firsts = _by_automata(rows, own.join(side, "a", "left_anti"), window).unionByName(_by_windows(rows, own.join(side, "a", "left_semi"), window))
-    else:
-        firsts = _by_automata(rows, own, window)
+    shared = settle(found.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a"))
+    met = settle(found.join(_side(shared), "a"))
+    own = settle(met.groupBy("a", "c").agg(F.min(F.struct("id", "th", "s", "r")).alias("x")).select("a", "c", "x.*"))
+    several = settle(own.groupBy("a").agg(F.count("*").alias("stretches")).where("stretches > 1"))
+    alone = own.join(_side(several), "a", "left_anti").select("a", "c", F.array_repeat("id", F.col("r")).alias("firsts"))  # no other stretch to be found in
+    rest = own.join(_side(several), "a")
+    firsts = alone.unionByName(_by_automata(rows, rest.where(F.col("stretches") <= crowd), window))
+    if several.where(F.col("stretches") > crowd).limit(1).count():
+        firsts = firsts.unionByName(_by_windows(rows, rest.where(F.col("stretches") > crowd), window))
     gone = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("id"), F.col("s") + j)), lambda x: x.isNotNull())
-    return met.join(firsts, ["a", "c"]).select("id", "th", gone.alias("gone")).where("size(gone) > 0").groupBy("id", "th").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    gone = met.join(firsts, ["a", "c"]).select("id", "th", gone.alias("gone")).where("size(gone) > 0")
+    return gone.groupBy("id", "th").agg(F.flatten(F.collect_set("gone")).alias("gone"))  # a set, as equal rows come to the same
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
@@ -248,9 +255,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     hash_, gone = fresh("hash"), fresh("gone")
     known = quoted(doc_id).isNotNull() & quoted(text).isNotNull()
     rows = df.where(known).withColumn(hash_, F.xxhash64(quoted(text).cast("string")))
-    found = repeats(rows.select(quoted(doc_id).cast("long").alias("id"), quoted(text).cast("string").alias("text"), F.col(hash_).alias("th")), window, crowd)
+    found = settle(repeats(rows.select(quoted(doc_id).cast("long").alias("id"), quoted(text).cast("string").alias("text"), F.col(hash_).alias("th")), window, crowd))
     found = found.select(F.col("id").alias(other := fresh("id")), F.col("th").alias(th := fresh("th")), F.col("gone").alias(gone))
-    joined = rows.join(found, (quoted(doc_id).cast("long") == F.col(other)) & (F.col(hash_) == F.col(th)), "left").drop(other, th, hash_)
+    same = (quoted(doc_id).cast("long") == F.col(other)) & (F.col(hash_) == F.col(th))
+    if found.count() <= FEW:  # texts from which nothing goes don't move
+        keys = F.broadcast(found.select(other, th))
+        joined = rows.join(keys, same, "left_semi").join(found.hint("merge"), same).unionByName(rows.join(keys, same, "left_anti"), allowMissingColumns=True)
+    else:
+        joined = rows.join(found, same, "left")
+    joined = joined.drop(other, th, hash_)
     rest = df.where(~known | F.isnull(known)).withColumn(gone, F.lit(None).cast("array<int>"))
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
