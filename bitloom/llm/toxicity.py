@@ -1,5 +1,7 @@
 """Operator 6, toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
+A word counts by itself, by its first STEM letters, which the forms of a word share in inflected languages, and with words near it.
+
 McMahan and others, "Ad click prediction: a view from the trenches" (2013), gives the update: a learning rate for each coordinate
 and an L1 term that leaves most weights at exactly 0.
 """
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, quoted, settle, with_results
 
-#: Bits of a feature's number; distances of the two words of a pair: next to each other, or with one or two between.
+#: Bits of a feature's number; letters of a stem; distances of the two words of a pair: next to each other, or with one or two between.
 BITS = 18
+STEM = 4
 GAPS = (1, 2, 3)
 #: The classifier is fitted on at most so many labelled rows, of those whose hashed ids are least.
 SAMPLE = 12_000
@@ -29,13 +32,14 @@ _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 def features(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all n-grams and skip-grams of whole texts, repeats included."""
+    """(row, feature) of all stems, n-grams and skip-grams of whole texts, repeats included. Letters of a stem are bytes of UTF-8."""
     words = [(t or "").lower().encode().translate(_APART).split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     h = np.fromiter((crc32(w) for own in words for w in own), np.uint64, int(sizes.sum()))
     row = np.repeat(np.arange(len(words)), sizes)
     shift = np.uint64(64 - BITS)
-    rows, found = [row], [((h + np.uint64(1)) * _MULTIPLY[0]) >> shift]
+    stem = np.fromiter((crc32(w[:STEM]) for own in words for w in own), np.uint64, len(h))
+    rows, found = [row, row], [((h + np.uint64(1)) * _MULTIPLY[0]) >> shift, ((stem + np.uint64(1)) * _MULTIPLY[1]) >> shift]
     for k in GAPS:
         same = row[k:] == row[:-k]
         rows.append(row[k:][same])
@@ -73,33 +77,36 @@ def _weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, w)
 
 
-def _train(texts: pd.Series, labels: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
-    """One pass of FTRL-proximal, a row at a time; the last coordinate is the bias, free of L1."""
-    end = 1 << BITS
-    at = 0
+def _coded(texts: pd.Series) -> pd.Series:
+    """Of each text its distinct features in order."""
+    out = []
     for some in blocks(texts):
         row, f = features(some)
         key = np.unique((row << BITS) | f)
-        cuts = np.searchsorted(key >> BITS, np.arange(len(some) + 1))
-        key &= end - 1
-        for i in range(len(some)):
-            own = np.append(key[cuts[i] : cuts[i + 1]], end)
-            zi, ni = z[own], n[own]
-            w = _weight(zi, ni)
-            w[-1] = -zi[-1] / ((BETA + np.sqrt(ni[-1])) / ALPHA)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[at + i]
-            more = ni + g * g
-            z[own] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
-            n[own] = more
-        at += len(some)
+        out += np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(1, len(some))))
+    return pd.Series(out, dtype=object)
+
+
+def _train(rows: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
+    """FTRL-proximal over rows of distinct features, one after the other; the last coordinate is the bias, free of L1."""
+    end = 1 << BITS
+    for key, y in zip(rows, labels):
+        own = np.append(key, end)
+        zi, ni = z[own], n[own]
+        w = _weight(zi, ni)
+        w[-1] = -zi[-1] / ((BETA + np.sqrt(ni[-1])) / ALPHA)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        more = ni + g * g
+        z[own] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
+        n[own] = more
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Weights:
     """Weights learnt from the labelled rows of `docs` where `train` (over the ids of `labels`) is true.
 
     At most `sample` labelled ids, the least by hash, and of their distinct rows at most `sample`, again the least by hash, so that a
-    run over more data fits the same way and no id can fill the task. These rows pass one after the other, in that order, ROUNDS times;
-    each pass is a task of its own that starts from the state before. Ids or labels that are null are left out; an id with several
+    run over more data fits the same way and no id can fill the task. Their features are found once, where the rows are; then they pass one
+    after the other, in that order, ROUNDS times, each pass a task of its own that starts from the state before. Ids or labels that are null are left out; an id with several
     labels has the greatest, one with several texts each of them, a repeated row counts once. Null texts count as empty. No labelled
     row, or an empty table: weights that score 0.
     """
@@ -107,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.dropDuplicates(["id", "text"]).withColumn("at", F.xxhash64("id", "text")).orderBy("at", "id").limit(sample)
-    rows = settle(rows.repartition(1).sortWithinPartitions("at", "id"))  # bounded, and in order for every pass
+    rows = settle(rows)
+    rows = rows.repartition(32, "at").select("at", "id", "y", F.pandas_udf(_coded, "array<int>")("text").alias("own"))
+    rows = settle(rows.repartition(1).sortWithinPartitions("at", "id").select("y", "own"))  # bounded, and in order for every pass
     end = 1 << BITS
     z, n = np.zeros(end + 1), np.zeros(end + 1)
     for _ in range(ROUNDS):
@@ -116,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
         def follow(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
             z, n = (x.copy() for x in before.value)
             for rows in batches:
-                _train(rows["text"], rows["y"].to_numpy(np.float64), z, n)
+                _train(list(rows["own"]), rows["y"].to_numpy(np.float64), z, n)
             used = np.flatnonzero(n)
             yield pd.DataFrame({"at": used, "z": z[used], "n": n[used]})
 
