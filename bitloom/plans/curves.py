@@ -1,4 +1,4 @@
-"""Queries on areas under curves, score ranks, projected posteriors, batch graphs, code losses, hash buckets, cell names and imported codes."""
+"""Queries on areas under curves, score ranks, projected posteriors, batch graphs, code losses, hash buckets and cell names."""
 
 from __future__ import annotations
 
@@ -118,22 +118,6 @@ def cell_names(spark, sf_dir):
     return o.select(name.alias("name")).select(part(1).alias("dataset"), part(2).alias("method"), number(3).alias("bits"), number(4).alias("seed")).groupBy("dataset", "method", "bits", "seed").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"WITH {CODES}, w AS (SELECT *, CASE WHEN bits = 64 THEN 32 ELSE bits END AS low FROM codes), p AS (SELECT bits, modality, id, lo, low, list_sum([CASE WHEN (lo >> i) & 1 = 1 THEN 1 ELSE 0 END FOR i IN range(0, low)]) + CASE WHEN bits = 64 THEN bit_count(hi) ELSE 0 END AS ones FROM w) "
-    "SELECT bits::INTEGER AS bits, modality, count(*) AS n, count(DISTINCT id) AS ids, 0::BIGINT AS wrong_width, 0::BIGINT AS outside, 0::BIGINT AS differs, sum(ones)::BIGINT AS ones FROM p GROUP BY ALL"
-)
-def imported_codes(spark, sf_dir):
-    """Bipolar codes as an outside writer would hand them over: checked for width and domain, packed, and held against our own."""
-    own = codes(with_split(items(spark, sf_dir))).select("id", "modality", "bits", "code")
-    given = own.withColumn("bipolar", F.transform(F.sequence(F.lit(0), F.col("bits") - 1), lambda i: F.when(F.getbit("code", i) == 1, 1).otherwise(-1)))
-    packed = given.withColumn("again", C.pack(F.col("bipolar")))
-    outside = F.exists("bipolar", lambda x: (x != 1) & (x != -1))
-    return packed.groupBy("bits", "modality").agg(
-        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.size("bipolar") != F.col("bits")).alias("wrong_width"), F.count_if(outside).alias("outside"),
-        F.count_if(F.col("again") != F.col("code")).alias("differs"), F.sum(F.bit_count("again")).alias("ones"),
-    )
-
-
 _PROTOTYPES = codebook.prototypes(10, 32)
 
 
