@@ -136,7 +136,7 @@ def _anchored(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             docs, hashes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             at = 0
-            for some in blocks(batch.column(1).to_pandas()):
+            for some in blocks(batch.column(1).to_pandas(), 1_000_000):
                 row, s, r, a, c = stretches([t.encode() for t in some], window)
                 row = row + at
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, docs[row], hashes[row], s.astype(np.int32), r.astype(np.int32))], schema=schema)
