@@ -37,15 +37,28 @@ def decoded(raw: Column) -> Column:
     return F.try_validate_utf8(raw)
 
 
+def canonical(document: Column) -> Column:
+    """A JSON document with the keys of every object in order, however deep, and numbers in one form; null for text that is no JSON.
+
+    An object that has a key twice is no JSON here. Equal documents, in any order of keys, are equal texts. By Spark's VARIANT, which
+    keeps an object's members sorted by name.
+    """
+    return F.to_json(F.try_parse_json(document))
+
+
 def json_pointer(document: Column, pointer: str) -> Column:
-    """The value that an RFC 6901 pointer leads to, as text: a step of digits is an index of an array or else the name of a member.
+    """The value that an RFC 6901 pointer leads to, as text (objects and arrays as `canonical`); null where it leads nowhere.
 
-    Names with a quote can't be said in Spark's paths and are refused.
+    A step of digits is an index of an array or else the name of a member. Names may have one kind of quote, not both.
     """
+    if pointer and pointer[0] != "/":
+        raise ValueError(f"a pointer begins with /: {pointer}")
     steps = [s.replace("~1", "/").replace("~0", "~") for s in pointer.split("/")[1:]]
-    if any("'" in s for s in steps):
-        raise ValueError(f"a name with a quote: {pointer}")
     paths = ["$"]
     for s in steps:  # every reading of digits; a document has one of them
-        paths = [p + x for p in paths for x in ([f"[{s}]"] if s == "0" or s.isdigit() and s[0] != "0" else []) + [f"['{s}']"]]
-    return F.coalesce(*(F.get_json_object(document, p) for p in paths))
+        if "'" in s and '"' in s:
+            raise ValueError(f"a name with both quotes: {pointer}")
+        name = f'["{s}"]' if "'" in s else f"['{s}']"
+        paths = [p + x for p in paths for x in ([f"[{s}]"] if s == "0" or s.isdigit() and s[0] != "0" else []) + [name]]
+    value = F.try_parse_json(document)
+    return F.coalesce(*(F.try_variant_get(value, p, "string") for p in paths))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..functions import encoders
 from ..operators import moments, rank
 from ..operators.quantile import quantiles
 from ..sources.items import items, with_split
@@ -162,9 +163,17 @@ def pooled_vectors(spark, sf_dir):
     return m.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda z: F.array(F.round(z["v"].cast("double"), 5))).alias("pooled"))
 
 
-@query("WITH d AS (SELECT DISTINCT [(x * 2)::INTEGER FOR x IN embedding[1:4]] AS cell FROM embeddings), c AS (SELECT cell, list_sum([x * x FOR x IN cell]) AS encoded FROM d) SELECT vec_id, encoded::BIGINT AS encoded FROM embeddings JOIN c ON c.cell = [(x * 2)::INTEGER FOR x IN embedding[1:4]]")
+_TURNED = "[round(list_sum([CASE WHEN bit_count(i & j) % 2 = 0 THEN embedding[j + 1]::DOUBLE ELSE -(embedding[j + 1]::DOUBLE) END FOR j IN range(0, 64)]), 6) FOR i IN range(0, 64)]"
+_HALF = lambda v, first: f"list_sum([CASE WHEN {v}[i + {first + 1}] >= 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(0, 32)])::BIGINT"
+
+
+@query(
+    f"WITH t AS (SELECT vec_id, embedding AS v, 'signs' AS encoder FROM embeddings UNION ALL SELECT vec_id, {_TURNED} AS v, 'hadamard' AS encoder FROM embeddings) "
+    f"SELECT vec_id, encoder, {_HALF('v', 0)} AS lo, {_HALF('v', 32)} AS hi FROM t"
+)
 def encode_distinct(spark, sf_dir):
-    """Distinct feature rows are encoded once, then met again by their rows."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.bround(x.cast("double") * 2).cast("int")).alias("cell"))
-    once = e.select("cell").distinct().withColumn("encoded", F.aggregate("cell", F.lit(0).cast("long"), lambda a, x: a + x * x))
-    return e.join(once, "cell").select("vec_id", "encoded")
+    """The codes that two registered encoders, one a column function and one over batches, give all 64 numbers; equal vectors once."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    low = F.lit(0xFFFFFFFF).cast("long")
+    each = [encoders.encode_distinct(e, "embedding", n).select("vec_id", F.lit(n).alias("encoder"), encoders.packed(F.col("code")).alias("c")) for n in ("signs", "hadamard")]
+    return each[0].unionAll(each[1]).select("vec_id", "encoder", F.col("c").bitwiseAND(low).alias("lo"), F.shiftrightunsigned("c", 32).alias("hi"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha, unsigned_64
 from ..functions.labels import multi_hot
 from ..operators import provenance, text
+from ..sources import readers
 from ..sources.tables import table
+from ..streaming.chunks import shared_folder
 from .registry import query
 
 
@@ -149,3 +151,28 @@ def canonical_json(spark, sf_dir):
     """Records as JSON with keys in order."""
     g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
     return g.select("event_type", F.to_json(F.struct("n", F.col("event_type").alias("type"), "users")).alias("canonical"))
+
+
+@query("SELECT event_id, sha256('{\"at\":{\"id\":' || event_id || ',\"props\":' || json(props) || '},\"type\":\"' || event_type || '\"}') AS digest, true AS same FROM events")
+def canonical_records(spark, sf_dir):
+    """A digest of each event as a nested record, which two orders of its keys and other spaces don't change."""
+    quote = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    one = F.concat(F.lit('{"type":'), quote("event_type"), F.lit(', "at": {"props": '), F.col("props"), F.lit(', "id": '), F.col("event_id"), F.lit("}}"))
+    other = F.concat(F.lit('{"at":{"id":'), F.col("event_id"), F.lit(',"props":'), F.col("props"), F.lit('},"type":'), quote("event_type"), F.lit("}"))
+    e = table(spark, sf_dir, "events").select("event_id", *(F.sha2(text.canonical(c).cast("binary"), 256).alias(n) for c, n in ((one, "digest"), (other, "again"))))
+    return e.select("event_id", "digest", (F.col("digest") == F.col("again")).alias("same"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents), n AS (SELECT *, coalesce(sum(len(ls)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t), "
+    "l AS (SELECT before + i - 1 AS k, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM n)) SELECT length(line) AS width, count(*) AS n, sum(k)::BIGINT AS places, min(k)::BIGINT AS first FROM l GROUP BY ALL"
+)
+def numbered_lines(spark, sf_dir):
+    """All documents as lines of text files, numbered through without reading a file whole: where lines of each length stand."""
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
+    found = readers.lines(spark, folder)
+    per = found.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
+    before = per.select(F.col("file").alias("own"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    k = F.col("line_no") + F.col("before")
+    return found.join(F.broadcast(before), F.col("file") == F.col("own")).groupBy(F.length("line").cast("long").alias("width")).agg(F.count("*").alias("n"), F.sum(k).alias("places"), F.min(k).alias("first"))

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines of text files, from 0; a file is read whole, so files are to be of a task's size."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\n$", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line): lines of text files, from 0; a line ends at \\n, \\r\\n or \\r, as a plain reader has it.
+
+    Files are read in splits, and no line is moved: a first pass counts the lines of each split, sums over a file's splits say how many
+    stand before, and a line's number is that and its place in its split. Splits are cut alike in both passes, as Spark cuts them by the
+    files' sizes and the session's settings, which must not change between. An empty file has no lines.
+    """
+    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    read = spark.read.text(path).select(file, at, "value").withColumn("k", F.monotonically_increasing_id())
+    splits = settled(read.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("k").alias("first")))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split of a file
+    splits = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    side = F.broadcast(splits) if splits.count() <= 1_000_000 else splits
+    return read.join(side, ["file", "at"]).select("file", (F.col("k") + F.col("shift")).alias("line_no"), F.col("value").alias("line"))
+
+
+def located(numbered: DataFrame, locators: DataFrame) -> DataFrame:
+    """`locators` (file, line_no, ...) with the `line` that each points at; null where the file has no such line."""
+    return locators.join(numbered.select("file", "line_no", "line"), ["file", "line_no"], "left")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

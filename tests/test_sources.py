@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,27 @@ def test_labels_open_after_ranks_are_frozen(spark):
     key = lambda r: r.direction
     for a, b in zip(sorted(one, key=key), sorted(two, key=key)):
         assert all(x == y if isinstance(x, str) else abs(x - y) < 1e-12 for x, y in zip(a, b))
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Splits of some bytes cut lines, characters and line ends; numbers are those of a plain reader."""
+    rng = random.Random(2)
+    for name in "abc":
+        parts = ["".join(rng.choices("aé日\U0001f600 ", k=rng.randint(0, 60))) + rng.choice(["\n", "\r\n", "\n"]) for _ in range(rng.randint(300, 900))]
+        (tmp_path / f"{name}.txt").write_bytes("".join(parts).encode() + (b"no end" if name == "b" else b""))
+    (tmp_path / "empty.txt").write_bytes(b"")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = readers.lines(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 50
+        got = found.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {(name, k): line for name in "abc" for k, line in enumerate((tmp_path / f"{name}.txt").read_bytes().decode().replace("\r\n", "\n").removesuffix("\n").split("\n"))}
+    assert len(got) == len(want) and {(r.file[-5], r.line_no): r.line for r in got} == want
+    file = next(r.file for r in got if r.file[-5] == "b")
+    spots = spark.createDataFrame([(file, 0), (file, 250), (file, 10**6), ("other", 0)], "file string, line_no long")
+    assert {(r.file[-5:], r.line_no): r.line for r in readers.located(found, spots).collect()} == {("b.txt", 0): want["b", 0], ("b.txt", 250): want["b", 250], ("b.txt", 10**6): None, ("other", 0): None}
