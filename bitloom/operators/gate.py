@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .rank import pairs
 
 _LABELS = ("label", "labels", "qlabel", "qlabels", "dlabel", "dlabels")
@@ -14,7 +15,7 @@ _LABELS = ("label", "labels", "qlabel", "qlabels", "dlabel", "dlabels")
 
 @dataclass(frozen=True)
 class Frozen:
-    """Ranks and a digest of them."""
+    """Ranks, checkpointed so that nothing computes them anew, and a digest of them."""
 
     ranks: DataFrame
     digest: str
@@ -24,9 +25,13 @@ def freeze(q: DataFrame, d: DataFrame) -> Frozen:
     """Distances of queries (as `rank.directed` gives them) to the gallery; label columns are an error."""
     if found := [c for c in (*q.columns, *d.columns) if c in _LABELS]:
         raise ValueError(f"ranks are frozen before labels are opened; got {found}")
-    ranks = pairs(q, d).select("direction", "bits", "qid", "did", "r")
+    ranks = settled(pairs(q, d).select("direction", "bits", "qid", "did", "r"))
+    return Frozen(ranks, _digest(ranks))
+
+
+def _digest(ranks: DataFrame) -> str:
     total = ranks.agg(F.count("*"), F.sum(F.xxhash64("direction", "bits", "qid", "did", "r").cast("decimal(38,0)"))).first()
-    return Frozen(ranks, f"{total[0]}:{total[1]}")
+    return f"{total[0]}:{total[1]}"
 
 
 def measure(frozen: Frozen, labels: DataFrame) -> DataFrame:
@@ -35,6 +40,8 @@ def measure(frozen: Frozen, labels: DataFrame) -> DataFrame:
 
     if not isinstance(frozen, Frozen):
         raise TypeError("labels open for frozen ranks alone")
+    if _digest(frozen.ranks) != frozen.digest:
+        raise ValueError("the ranks are not those that were frozen")
     q, d = labels.select(F.col("id").alias("qid"), F.col("labels").alias("ql")), labels.select(F.col("id").alias("did"), F.col("labels").alias("dl"))
     found = frozen.ranks.join(q, "qid").join(d, "did").withColumn("gain", jaccard(F.col("ql"), F.col("dl")))
     return found.groupBy("direction", "bits", "qid", "r").agg(F.count("*").alias("n"), F.count_if(F.col("gain") > 0).alias("m"), F.sum("gain").alias("g"))

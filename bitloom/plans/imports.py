@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import arrays, bundle
+from ..operators import ledger
+from ..sources import arrays, bundle, sparse
 from ..sources.tables import table
 from ..streaming.chunks import shared_folder
 from .registry import CODES, query
@@ -72,3 +73,33 @@ def imported_codes(spark, sf_dir):
     folder = shared_folder(spark)
     bundle.write(spark, faulty_bundle(spark, sf_dir), folder)
     return bundle.load(bundle.tables(spark, folder)).codes
+
+
+@query(
+    "WITH c AS (SELECT l_partkey AS p, l_suppkey % 50 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) "
+    "SELECT p_partkey AS row, list(coalesce(v, 0) ORDER BY i) AS vector FROM part CROSS JOIN range(10, 30) r(i) LEFT JOIN c ON p = p_partkey AND k = i GROUP BY p_partkey"
+)
+def sparse_rows(spark, sf_dir):
+    """Quantities of each part by supplier group as a sparse matrix in rows, and columns 10 to 30 of all its rows made dense."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("row"), (F.col("l_suppkey") % 50).alias("column")).agg(F.sum("l_quantity").alias("value"))
+    found = sparse.entries(*sparse.csr(cells))
+    return sparse.dense(found, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row")), 10, 30)
+
+
+@query(
+    "SELECT unnest(['clean', 'one dropped', 'one doubled', 'one changed', 'customer dropped']) AS copy, unnest(['-', 'dropped', 'doubled', 'changed', 'dropped']) AS kind, "
+    "unnest([0, 1, 1, 0, (SELECT count(*) FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))])::BIGINT AS n"
+)
+def sealed_orders(spark, sf_dir):
+    """Orders written and sealed in one pass, then copies with one fault each held against the seal: what is found of each."""
+    folder = shared_folder(spark)
+    sealed = ledger.materialize(table(spark, sf_dir, "orders"), folder)
+    written = spark.read.parquet(folder)
+    first = written.agg(F.min("o_orderkey"), F.min("o_custkey")).first()
+    one = F.col("o_orderkey") == first[0]
+    copies = {
+        "clean": written, "one dropped": written.where(~one), "one doubled": written.unionAll(written.where(one)),
+        "one changed": written.withColumn("o_totalprice", F.when(one, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "customer dropped": written.where(F.col("o_custkey") != first[1]),
+    }
+    told = [(name, *((found[0][0], found[0][2]) if (found := ledger.verify(df, sealed)) else ("-", 0))) for name, df in copies.items()]
+    return spark.createDataFrame(told, "copy string, kind string, n long")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from ..streaming import acks, chunks
+from ..streaming import acks, chunks, windows
 from .registry import query
 
 
@@ -42,3 +42,16 @@ def acknowledged_chunks(spark, sf_dir):
     dealt.select(F.col("o_custkey").cast("string").alias("cell"), "ordinal", "receipt").write.parquet(f"{folder}/sent")
     acks.run(spark, f"{folder}/sent", folder, 2)
     return acks.frontiers(acks.events(spark, folder))
+
+
+@query(
+    "WITH d AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, sum(round(value * 1000000)::BIGINT)::BIGINT AS micro FROM events GROUP BY 1, 2) "
+    "SELECT * FROM d WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"
+)
+def closed_windows(spark, sf_dir):
+    """Days of events as a stream in order of time: those that the watermark, six hours behind the latest event, has closed."""
+    folder = chunks.shared_folder(spark)
+    e = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    windows.run(spark, f"{folder}/in", folder, "6 hours", 4, "1 day")
+    return windows.closed(spark, folder)

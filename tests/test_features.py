@@ -1,6 +1,6 @@
-import random
+"""Closed-form fits against numpy over the collected table; pointers and forms of JSON."""
 
-"""Closed-form fits against numpy over the collected table."""
+import random
 
 import numpy as np
 import pytest

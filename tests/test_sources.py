@@ -68,6 +68,8 @@ def test_labels_open_after_ranks_are_frozen(spark):
     assert frozen.digest == gate.freeze(q.drop("qlabel", "qlabels").repartition(3), d.drop("dlabel", "dlabels")).digest
     with pytest.raises(TypeError):
         gate.measure(frozen.ranks, s)
+    with pytest.raises(ValueError, match="not those"):
+        gate.measure(gate.Frozen(frozen.ranks.withColumn("r", F.col("r") + 1), frozen.digest), s)
     one = metrics.means(metrics.query_metrics(gate.measure(frozen, items(spark, SF))), "direction").collect()
     two = metrics.means(metrics.query_metrics(rank.shells(q, d)), "direction").collect()
     key = lambda r: r.direction
