@@ -1,6 +1,6 @@
 """The library's queries over the driver tables."""
 
-from . import analysis, curves, imports, features, local, merging, provenance, retrieval, semantic, streams  # noqa: F401
+from . import analysis, collections, curves, imports, features, local, merging, provenance, retrieval, semantic, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ledger import Part, ledger, violations
+
 #: Fixed value: what an item without a tag is called.
 FALLBACK = "a generic photo"
 
@@ -53,3 +55,14 @@ def adapter(name: str) -> Callable[..., DataFrame]:
     if kind not in _KINDS:
         raise ValueError(f"no kind {name!r}: there are {', '.join(sorted(_KINDS))}")
     return _KINDS[kind]
+
+
+def index_faults(rows: DataFrame, tags: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rule, ids, example): what `indexed` would pass over. Indexes that tags or labels have and rows don't, repeated or null ones, rows
+    without a name, and tags whose positions are not 0, 1, 2..."""
+    place = tags.groupBy("raw_index").agg(F.count("*").alias("n"), F.min("position").alias("low"), F.max("position").alias("high"), F.countDistinct("position").alias("kinds"))
+    parts = {
+        "rows": Part(rows, "raw_index", {"name": F.col("source_id").isNull()}), "labels": Part(labels, "raw_index", {"null": F.col("label").isNull()}),
+        "tags": Part(place, "raw_index", {"positions": (F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("kinds") != F.col("n"))}),
+    }
+    return violations(ledger(parts, {"rows.repeated": "rows > 1", "tags.stray": "tags > 0 and rows = 0", "labels.stray": "labels > 0 and rows = 0"}))
