@@ -45,3 +45,15 @@ def soft_jaccard(p: Column, q: Column) -> Column:
 
 def multi_hot(ids: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(ids, i).cast("int"))
+
+
+def strict_multi_hot(ids: Column, size: int) -> Column:
+    """`multi_hot` of a set: an id that is null, stands twice or is not from 0 to size - 1 ends the job with the set in its message."""
+    bad = F.exists(ids, lambda i: i.isNull() | (i < 0) | (i >= size)) | (F.size(F.array_distinct(ids)) != F.size(ids))
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"not a set of ids below {size}: "), F.to_json(ids))).cast("array<int>")).otherwise(multi_hot(ids, size))
+
+
+def unit_faults(posterior: Column, width: int) -> Column:
+    """What a posterior breaks: "null", "width", "not finite" or "outside" (of 0 to 1); null where it is good."""
+    odd = F.exists(posterior, lambda p: p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")))
+    return F.when(posterior.isNull(), "null").when(F.size(posterior) != width, "width").when(odd, "not finite").when(F.exists(posterior, lambda p: (p < 0) | (p > 1)), "outside")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import unit_faults
 from ..operators import gate, ledger, rank
 from ..sources import adapters, readers, sinks
 from ..sources.items import codes, items, with_split
 from ..sources.tables import table
 from ..streaming.chunks import shared_folder
-from .registry import PAIRS, query
+from .registry import ITEMS, PAIRS, query
 from .retrieval import rounded
 
 
@@ -112,3 +114,43 @@ def written_shards(spark, sf_dir):
     for one in (overlaps, faults, exported, todo):  # a row each
         whole = whole.crossJoin(F.broadcast(one))
     return whole.withColumn("done", F.col("n") - F.col("todo")).drop("todo")
+
+
+@query(
+    f"WITH {ITEMS}, kept AS (SELECT id, (is_q AND id % 40 <> 1) OR id % 40 = 2 AS is_q, is_t AND id % 40 <> 3 AS is_t, is_d FROM split WHERE id % 40 <> 4), "
+    "v AS (SELECT 'is_q' AS role, s.id FROM split s JOIN kept k USING (id) WHERE s.is_q <> k.is_q UNION ALL SELECT 'is_t', s.id FROM split s JOIN kept k USING (id) WHERE s.is_t <> k.is_t "
+    "UNION ALL SELECT 'missing', id FROM split WHERE id % 40 = 4 UNION ALL SELECT 'is_q and is_d', id FROM kept WHERE is_q AND is_d UNION ALL SELECT 'neither', id FROM kept WHERE NOT is_q AND NOT is_d) "
+    "SELECT role, count(*) AS ids, min(id) AS example FROM v GROUP BY role"
+)
+def split_audit(spark, sf_dir):
+    """A stored split that was tampered with, held against the split that content hashes give: which roles differ, where and how often."""
+    own = with_split(items(spark, sf_dir)).select("id", "is_q", "is_t", "is_d")
+    folder, k = shared_folder(spark), F.col("id") % 40
+    own.where(k != 4).select("id", ((F.col("is_q") & (k != 1)) | (k == 2)).alias("is_q"), (F.col("is_t") & (k != 3)).alias("is_t"), "is_d").write.parquet(folder)
+    return split_faults(spark.read.parquet(folder), own)
+
+
+def split_faults(stored: DataFrame, own: DataFrame) -> DataFrame:
+    """(role, ids, example) where a stored split (id, is_q, is_t, is_d) differs from the recomputed one, in a grouping by id.
+
+    missing and unknown: ids of one side alone; repeated: stored more than once; and rows that are in both parts or in neither.
+    """
+    roles = ("is_q", "is_t", "is_d")
+    tell = lambda df, side: df.select("id", F.lit(side).alias("side"), *roles)
+    of = lambda side, r: F.max(F.when(F.col("side") == side, F.col(r)))
+    met = tell(stored, "s").unionAll(tell(own, "o")).groupBy("id").agg(F.count_if(F.col("side") == "s").alias("s"), F.count_if(F.col("side") == "o").alias("o"), *(of(x, r).alias(f"{x}_{r}") for x in "so" for r in roles))
+    both = (F.col("s") > 0) & (F.col("o") > 0)
+    rules = {r: both & (F.col(f"s_{r}") != F.col(f"o_{r}")) for r in roles}
+    rules |= {"missing": F.col("s") == 0, "unknown": F.col("o") == 0, "repeated": F.col("s") > 1, "is_q and is_d": F.col("s_is_q") & F.col("s_is_d"), "neither": ~F.col("s_is_q") & ~F.col("s_is_d")}
+    told = F.filter(F.array(*(F.when(bad, F.lit(r)) for r, bad in rules.items())), lambda r: r.isNotNull())
+    return met.select("id", F.explode(told).alias("role")).groupBy("role").agg(F.count("*").alias("ids"), F.min("id").alias("example"))
+
+
+@query(
+    "WITH p AS (SELECT user_id, event_id, [value / 100, 1 - value / 100, 0.5] AS v FROM events) SELECT CASE WHEN event_id % 50 = 1 THEN 'width' WHEN list_min(v) < 0 OR list_max(v) > 1 THEN 'outside' ELSE 'good' END AS fault, count(*) AS n, min(event_id) AS example FROM p GROUP BY 1"
+)
+def posterior_checks(spark, sf_dir):
+    """Posteriors of three numbers made from event values: what of them is not three numbers from 0 to 1."""
+    v = F.col("value") / 100
+    p = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 1, F.array(v)).otherwise(F.array(v, 1 - v, F.lit(0.5))).alias("v"))
+    return p.groupBy(F.coalesce(unit_faults(F.col("v"), 3), F.lit("good")).alias("fault")).agg(F.count("*").alias("n"), F.min("event_id").alias("example"))

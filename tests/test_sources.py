@@ -99,3 +99,35 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     file = next(r.file for r in got if r.file[-5] == "b")
     spots = spark.createDataFrame([(file, 0), (file, 250), (file, 10**6), ("other", 0)], "file string, line_no long")
     assert {(r.file[-5:], r.line_no): r.line for r in readers.located(found, spots).collect()} == {("b.txt", 0): want["b", 0], ("b.txt", 250): want["b", 250], ("b.txt", 10**6): None, ("other", 0): None}
+
+
+def test_sets_and_posteriors_that_are_none(spark):
+    from bitloom.functions import labels
+
+    df = spark.createDataFrame([([0, 2],), ([],)], "ids array<int>")
+    assert [r.h for r in df.select(labels.strict_multi_hot(F.col("ids"), 3).alias("h")).collect()] == [[1, 0, 1], [0, 0, 0]]
+    for bad in ([1, 1], [3], [-1], [None]):
+        with pytest.raises(Exception, match="not a set of ids below 3"):
+            spark.createDataFrame([(bad,)], "ids array<int>").select(labels.strict_multi_hot(F.col("ids"), 3)).collect()
+    rows = [([0.0, 1.0], None), ([0.5], "width"), (None, "null"), ([0.5, None], "not finite"), ([0.5, float("nan")], "not finite"), ([0.5, 1.1], "outside"), ([-0.1, 1.0], "outside")]
+    assert all(r.f == r.want for r in spark.createDataFrame(rows, "p array<double>, want string").select("want", labels.unit_faults(F.col("p"), 2).alias("f")).collect())
+
+
+def test_a_split_that_differs(spark):
+    from bitloom.plans.collections import split_faults
+
+    schema = "id long, is_q boolean, is_t boolean, is_d boolean"
+    own = spark.createDataFrame([(k, k % 5 == 0, k % 5 == 1, k % 5 != 0) for k in range(20)], schema)
+    assert split_faults(own, own).count() == 0
+    stored = own.where("id <> 3").unionAll(own.where("id = 4")).unionAll(spark.createDataFrame([(99, False, False, False)], schema))
+    stored = stored.withColumn("is_t", F.when(F.col("id") == 6, False).otherwise(F.col("is_t")))
+    assert {tuple(r) for r in split_faults(stored, own).collect()} == {("missing", 1, 3), ("repeated", 1, 4), ("unknown", 1, 99), ("neither", 1, 99), ("is_t", 1, 6)}
+
+
+def test_faults_of_indexed_collections(spark):
+    mk = spark.createDataFrame
+    rows = mk([(0, "a"), (1, None), (1, "b")], "raw_index long, source_id string")
+    tags = mk([(0, 0, "x"), (0, 2, "y"), (7, 0, "z"), (1, 0, "p"), (1, 1, "q")], "raw_index long, position int, tag string")
+    labels = mk([(0, 1), (8, None)], "raw_index long, label int")
+    got = {tuple(r) for r in adapters.index_faults(rows, tags, labels).collect()}
+    assert got == {("rows.name", 1, 1), ("rows.repeated", 1, 1), ("tags.positions", 1, 0), ("tags.stray", 1, 7), ("labels.stray", 1, 8), ("labels.null", 1, 8)}
