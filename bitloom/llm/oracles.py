@@ -61,13 +61,14 @@ hosts AS (SELECT u, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM cut),
 urls AS (SELECT u, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM hosts),
 rules(says, rule, rhost, rpath) AS (VALUES {_RULES}),
 ruled AS (SELECT u, arg_max(rule, (length(rule), rule)) AS rule, arg_max(says, (length(rule), rule)) AS says FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY u),
-marked AS (SELECT urls.*, rule, says FROM urls LEFT JOIN ruled USING (u)),
-sym AS (SELECT u, says, '^^^' || regexp_replace(translate(lower(regexp_replace(u, '^[^:/?#]*://', '')), '123456789', '000000000'), '[^a-z0/.\-]', '~', 'g') || '^' AS s FROM marked),
-grams AS (SELECT u, says, substr(s, i - 3, 4) AS g FROM (SELECT *, unnest(range(4, length(s) + 1)) AS i FROM sym)),
-counts AS (SELECT g, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM grams WHERE says IS NOT NULL GROUP BY g),
+marked AS (SELECT urls.*, rule, says, md5(u)[1] < '4' AS held FROM urls LEFT JOIN ruled USING (u)),
+apart AS (SELECT count(DISTINCT (says, held)) = 4 AS apart FROM marked WHERE says IS NOT NULL),
+sym AS (SELECT u, says, held, '^^^' || regexp_replace(translate(lower(regexp_replace(u, '^[^:/?#]*://', '')), '123456789', '000000000'), '[^a-z0/.\-]', '~', 'g') || '^' AS s FROM marked),
+grams AS (SELECT u, says, held, substr(s, i - 3, 4) AS g FROM (SELECT *, unnest(range(4, length(s) + 1)) AS i FROM sym)),
+counts AS (SELECT g, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM grams, apart WHERE says IS NOT NULL AND NOT (held AND apart) GROUP BY g),
 {_orders()},
-scored AS (SELECT u, says, floor(sum(round((ln(py) - ln(pn)) * {urls.UNIT})::BIGINT) * 1000 / count(*) / {urls.UNIT})::BIGINT AS score FROM grams JOIN p4 USING (g) GROUP BY u, says),
-bins AS (SELECT greatest(-20000, least(20000, score)) AS bin, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM scored WHERE says IS NOT NULL GROUP BY 1),
+scored AS (SELECT u, says, held, floor(sum(round((ln(py) - ln(pn)) * {urls.UNIT})::BIGINT) * 1000 / count(*) / {urls.UNIT})::BIGINT AS score FROM grams JOIN p4 USING (g) GROUP BY u, says, held),
+bins AS (SELECT greatest(-20000, least(20000, score)) AS bin, count(*) FILTER (says = 'allow') AS yes, count(*) FILTER (says = 'block') AS no FROM scored, apart WHERE says IS NOT NULL AND (held OR NOT apart) GROUP BY 1),
 total AS (SELECT sum(yes) AS a, sum(no) AS r FROM bins),
 run AS (SELECT bin, sum(yes) OVER (ORDER BY bin) - yes AS missed, r - (sum(no) OVER (ORDER BY bin) - no) AS passed, a, r FROM bins, total),
 limits AS (SELECT (SELECT bin FROM run WHERE a > 0 AND r > 0 ORDER BY missed / a + passed / r, bin LIMIT 1) AS threshold)

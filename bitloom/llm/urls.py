@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_unevenly, settle
 
 #: Symbols by number: the edge, letters, any digit, three marks and anything else.
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-~"
@@ -77,18 +77,26 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id",
     """(page_id, url, host, path, rule, verdict, score) for every row of `df`.
 
     verdict: the rule's; else allow if the URL's score reaches the threshold, block if not. score: the log-likelihood difference for
-    a character, in thousandths. threshold: the least sum of the shares of wrongly judged URLs among those that rules decide, at its
-    lowest value. Each distinct URL counts once. Where rules allow or block no URL, nothing can be learnt: undecided ones are allowed.
+    a character, in thousandths. Of the URLs that rules decide, those whose MD5 begins with 0 to 3 train nothing: on them the threshold
+    has the least sum of the shares of wrongly judged URLs, at its lowest value. Where this or the other part lacks a class, all train and
+    all are judged by. Each distinct URL counts once, and one that crowds the table is joined apart. Where rules allow or block no URL,
+    nothing can be learnt: undecided ones are allowed. Very long URLs are whole, an empty table gives an empty one.
     Null URLs count as empty texts and have empty host and path. Repeated rows stay; other columns are not read.
     """
     rows = df.select(df[f"`{page_id}`"].alias("page_id"), df[f"`{url}`"].cast("string").alias("raw")).withColumn("url", F.coalesce("raw", F.lit("")))
     host, path = parts(F.col("url"))
     _, says = rule_for(F.col("host"), F.col("path"), rules)
-    urls = settle(rows.select("url").distinct().withColumns({"host": host, "path": path}).select("url", (says == "allow").alias("allowed")))
-    counts = settle(grams(urls.where("allowed is not null")).groupBy("g").agg(F.sum(F.col("allowed").cast("long")).alias("yes"), F.sum((~F.col("allowed")).cast("long")).alias("no")))
+    held = F.substring(F.md5(F.col("url").cast("binary")), 1, 1) < "4"
+    urls = rows.groupBy("url").agg(F.count("*").alias("times")).withColumns({"host": host, "path": path})
+    urls = settle(urls.select("url", "times", (says == "allow").alias("allowed"), held.alias("held")))
+    decided = urls.where("allowed is not null")
+    apart = decided.select("allowed", "held").distinct().count() == 4
+    train = decided.where("not held") if apart else decided
+    counts = settle(grams(train).groupBy("g").agg(F.sum(F.col("allowed").cast("long")).alias("yes"), F.sum((~F.col("allowed")).cast("long")).alias("no")))
     scored = grams(urls).join(F.broadcast(model(counts)), "g").groupBy("url", "allowed").agg(F.floor(F.sum("v") * 1000 / F.count("*") / UNIT).cast("long").alias("score"))
-    scored = settle(scored)
-    bins = scored.where("allowed is not null").groupBy(F.greatest(F.lit(-20000), F.least(F.lit(20000), "score")).alias("at")).agg(F.sum(F.col("allowed").cast("long")).alias("yes"), F.sum((~F.col("allowed")).cast("long")).alias("no"))
+    scored = settle(scored.join(urls.select("url", "times", "held"), "url"))
+    judged = scored.where("allowed is not null and held") if apart else scored.where("allowed is not null")
+    bins = judged.groupBy(F.greatest(F.lit(-20000), F.least(F.lit(20000), "score")).alias("at")).agg(F.sum(F.col("allowed").cast("long")).alias("yes"), F.sum((~F.col("allowed")).cast("long")).alias("no"))
     totals = bins.agg(F.sum("yes"), F.sum("no")).first()
     if totals[0] and totals[1]:
         # bins are at most 40,001 rows: the running sums are over a bounded table
@@ -98,5 +106,5 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id",
         threshold = None
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     learnt = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    joined = rows.join(scored.select("url", "score"), "url").withColumns({"host": host, "path": path})
+    joined = join_unevenly(rows, scored.select("url", "times", "score"), "url", "times").withColumns({"host": host, "path": path})
     return joined.select("page_id", F.col("raw").alias("url"), "host", "path", rule.alias("rule"), F.coalesce(says, learnt).alias("verdict"), "score")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -63,9 +64,11 @@ def test_query_equals_plain_models(spark, sf):
     got = {r.page_id: r for r in QUERIES["op8_url_filters"](spark, sf).collect()}
     assert got.keys() == pages.keys()
     says = {u: plain_rule(*plain_parts(u))[1] for u in pages.values()}
-    ratio = plain_model([u for u in says if says[u] == "allow"], [u for u in says if says[u] == "block"])
+    held = {u: hashlib.md5(u.encode()).hexdigest()[0] < "4" for u in says}
+    assert {(v, held[u]) for u, v in says.items() if v} == {(v, h) for v in ("allow", "block") for h in (True, False)}
+    ratio = plain_model(*([u for u in says if says[u] == v and not held[u]] for v in ("allow", "block")))
     scores = {u: math.floor(sum(v := ratio(u)) * 1000 / len(v) / urls.UNIT) for u in says}
-    train = [(scores[u], v) for u, v in says.items() if v]
+    train = [(scores[u], v) for u, v in says.items() if v and held[u]]
     yes, no = sum(v == "allow" for _, v in train), sum(v == "block" for _, v in train)
     threshold = min({s for s, _ in train}, key=lambda t: (sum(v == "allow" and s < t for s, v in train) / yes + sum(v == "block" and s >= t for s, v in train) / no, t))
     off = 0
@@ -91,3 +94,15 @@ def test_odd_rows(spark):
     assert by[1].verdict == "allow" and by[6].verdict == "block" and by[None].rule == "com/en/"
     assert {r.verdict for r in urls.judge(df.where("page_id in (2, 3)"), URL_RULES).collect()} == {"allow"}
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
+
+
+def test_a_url_that_crowds_the_table(spark):
+    """A third of the rows has one URL, another third none: they are joined apart, and fare as alone."""
+    df = spark.createDataFrame([(k, f"http://h{k % 97}.{'com' if k % 2 else 'net'}/{'en' if k % 3 else 'de'}/{k}") for k in range(2000)], "page_id long, url string")
+    crowd = spark.range(60_000).selectExpr("id + 10000 as page_id", "if(id % 2 = 0, 'http://hot.fr/x', null) as url")
+    both = df.unionByName(crowd).repartition(8)
+    one = {r.page_id: (r.verdict, r.score) for r in urls.judge(df.unionByName(crowd.where("page_id < 10002")), URL_RULES).collect()}
+    got = urls.judge(both, URL_RULES)
+    assert got.count() == 62_000
+    kinds = got.where("page_id >= 10000").groupBy("url", "verdict", "score").count().collect()
+    assert {(r.url, r.verdict, r.score): r["count"] for r in kinds} == {("http://hot.fr/x", *one[10000]): 30_000, (None, *one[10001]): 30_000}
