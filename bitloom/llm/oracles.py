@@ -14,12 +14,13 @@ w AS (SELECT k, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
 grams AS (SELECT k, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 9)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM grams) WHERE n > 1),
 reps AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY k),
-lines AS (SELECT k, l, regexp_extract_all(l, '{_WORD}') AS lw FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d)),
+lines AS (SELECT k, l, regexp_extract_all(l, '{_WORD}') AS lw, regexp_extract_all(lower(l), '{quality.HINTS}') AS hints FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d)),
 judged AS (SELECT k, l, len(lw) AS n,
   100 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > 15 * list_sum([length(x) FOR x IN lw])
   OR 2 * (length(l) - length(replace(l, '!', ''))) > len(lw)
   OR ((len(lw) < 5 OR 5 * len([x FOR x IN lw IF list_contains({_LIST(quality.BARS)}, x)]) >= len(lw)) AND NOT list_contains({_LIST(quality.TERMINALS)}, right(lw[-1], 1)))
-  OR (len(lw) <= 40 AND regexp_matches(lower(l), '{quality.BOILERPLATE}')) OR (len(lw) <= {quality.SHORT_LINE} AND regexp_matches(lower(l), '{quality.SHORT_BOILERPLATE}'))
+  OR (len(lw) <= {quality.LONG_LINE} AND (regexp_matches(lower(l), '{quality.BOILERPLATE}') OR len(list_distinct(hints)) > 1 OR 2 * list_sum([len(string_split(h, ' ')) FOR h IN hints]) >= len(lw)
+    OR (len(hints) > 0 AND len(lw) <= {quality.SHORT_LINE} AND NOT list_contains({_LIST(quality.TERMINALS)}, right(lw[-1], 1)))))
   OR (len(lw) >= 8 AND 3 * list_sum([(lw[i] = lw[i + 1])::INTEGER FOR i IN range(1, len(lw))]) > len(lw))
   OR NOT regexp_matches(l, '\p{{L}}') AS fails FROM lines WHERE len(lw) > 0),
 per AS (SELECT k, count(*) - count(DISTINCT l) AS dups, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY k),

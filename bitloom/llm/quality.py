@@ -17,15 +17,14 @@ from .common import SPACES, with_results
 SYMBOLS = b"#*$%&|<>"
 BARS = ("|", "»", "›", "•", "·", "::", "-", "/")
 TERMINALS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", ")", "。", "！", "？")
-#: What boilerplate lines say, in lower case; and what only short ones mean so, as plain sentences say it too.
-BOILERPLATE = (
-    "all rights reserved|licensed under|released under the|privacy policy|cookie policy|terms of use|terms of service"
-    "|enable javascript|©|lorem ipsum|click here|skip to content"
-)
-SHORT_BOILERPLATE = "cookies|copyright|subscribe to|sign in|sign up|log in|read more|share this"
+#: What boilerplate alone says, in lower case; and hints at it, which plain sentences hold as well.
+BOILERPLATE = r"all rights reserved|licensed under|released under the|enable javascript|©|lorem ipsum|skip to content|copyright (?:[0-9]{4}|\(c\))"
+HINTS = "privacy policy|cookie policy|terms of use|terms of service|click here|cookies|copyright|subscribe to|sign in|sign up|log in|read more|share this"
+#: Words of a line that may be boilerplate, and of one that a single hint makes so where no final mark ends it.
+LONG_LINE = 40
 SHORT_LINE = 6
 WINDOW = 8
-_SAYS, _SAYS_SHORTLY = re.compile(BOILERPLATE), re.compile(SHORT_BOILERPLATE)
+_SAYS, _HINTS = re.compile(BOILERPLATE), re.compile(HINTS)
 _MIX = np.random.default_rng(20261128).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 _BARS = frozenset(x.encode() for x in BARS)
 
@@ -54,9 +53,9 @@ def line_fails(line: str, data: bytes, words: list[bytes]) -> bool:
     """Whether a line that has words breaks a rule.
 
     Punctuation: over 15 symbols in 100 characters of words, more than one "!" for two words, no letter, or under five words
-    and no final mark. Navigation: a fifth of the words or more are separators, and no final mark. Boilerplate: up to 40 words, with one
-    of BOILERPLATE, or up to SHORT_LINE words, with one of SHORT_BOILERPLATE. Repetition: eight words or more, of which over a third
-    equal the word before.
+    and no final mark. Navigation: a fifth of the words or more are separators, and no final mark. Boilerplate: up to LONG_LINE words
+    with one of BOILERPLATE, with two different HINTS, or with one that is half of its words, or that stands in up to SHORT_LINE words
+    without a final mark. Repetition: eight words or more, of which over a third equal the word before.
     """
     n = len(words)
     chars = len(line) - len(data) + len(data.translate(None, SPACES))
@@ -64,8 +63,12 @@ def line_fails(line: str, data: bytes, words: list[bytes]) -> bool:
         return True
     if (n < 5 or 5 * sum(w in _BARS for w in words) >= n) and not words[-1].decode().endswith(TERMINALS):
         return True
-    if n <= 40 and _SAYS.search(line.lower()) or n <= SHORT_LINE and _SAYS_SHORTLY.search(line.lower()):
-        return True
+    if n <= LONG_LINE:
+        if _SAYS.search(low := line.lower()):
+            return True
+        hints = _HINTS.findall(low)
+        if hints and (len(set(hints)) > 1 or 2 * sum(h.count(" ") + 1 for h in hints) >= n or n <= SHORT_LINE and not words[-1].decode().endswith(TERMINALS)):
+            return True
     if n >= 8 and 3 * sum(map(eq, words, words[1:])) > n:
         return True
     return not any(map(str.isalpha, line))
@@ -105,7 +108,7 @@ def clean_lines(df: DataFrame, text: str = "text", max_loss_pct: int = 50, min_w
 
     A map over rows: no shuffle, and no row depends on another. Null text counts as empty: all counts 0, base_failed true, kept
     false, clean_text "". Repeated rows get equal results. Input columns named as a result are replaced. An empty table gives an
-    empty one. with_text=False leaves clean_text null, which spares its transfer.
+    empty one, and very long texts are read whole. with_text=False leaves clean_text null, which spares its transfer.
     """
 
     @F.pandas_udf(SCHEMA)

@@ -55,6 +55,9 @@ def test_query_counts_equal_plain_ones(spark, sf):
 def test_plain_sentences_stay_and_boilerplate_goes():
     fails = lambda line: quality.line_fails(line, line.encode(), line.encode().split())
     plain = ["She baked cookies with her two sons on a rainy Sunday afternoon.", "We log in the northern forest from May to the first snow.",
-             "The old - or rather ancient - house - was sold.", "He tried to sign in for the race, but the desk was closed.", "A copyright is not a patent, as the judge explained to both sides."]
-    junk = ["Home | News | Sport | Weather", "Sign in", "We use cookies", "Copyright 2020 Some Company Ltd", "Read more", "Home » Products » Shoes", "Please enable JavaScript to use all parts of this page.", "All rights reserved by the owner of this site."]
+             "The old - or rather ancient - house - was sold.", "He tried to sign in for the race, but the desk was closed.", "A copyright is not a patent, as the judge explained to both sides.",
+             "Copyright law changed in 1976.", "You can read more books here.", "We sign in blood for freedom.", "Cookies are good.", "Cookies are good, and more cookies are better.",
+             "The button said click here, but nothing happened when she pressed it again.", "Parliament debated whether the privacy policy of the ministry was lawful."]
+    junk = ["Home | News | Sport | Weather", "Sign in", "We use cookies", "Copyright 2020 Some Company Ltd", "Read more", "Home » Products » Shoes", "Please enable JavaScript to use all parts of this page.", "Click here.", "Please sign in.",
+            "By going on you agree to our terms of service and our privacy policy.", "Sign up now and subscribe to our letter!", "Copyright (c) the owners.", "All rights reserved by the owner of this site."]
     assert not any(map(fails, plain)) and all(map(fails, junk))
