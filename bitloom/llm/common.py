@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled as settle
+
 #: ASCII white space, which separates words; every other code point belongs to a word.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -52,22 +54,6 @@ def blocks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[pd.Series]:
         start = stop
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a checkpoint in the shared folder.
-
-    That folder is the context's own, or the one the cluster names in spark.checkpoint.dir. Where neither is set, a local master, as in
-    tests, gets a folder of this machine; on a cluster that is an error, as executors don't see each other's disks. Spark removes a
-    checkpoint that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is on.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "file:///tmp/checkpoints/bitloom")
-    return df.checkpoint()
-
-
 #: Keys with more rows than this, of which there can only be so many in a table, are joined by a broadcast.
 CROWD = 20_000
 

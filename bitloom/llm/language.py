@@ -182,7 +182,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", switch: float = SW
     """`df` with `lang_pred`, `score` (the share of the word characters in its spans) and `spans` (language, first word, words).
 
     A map over rows with the model broadcast; only the text is read. Null text, or one without a letter: `und`, 0, no spans. Words in a
-    script that no learnt language has take any. Input columns named as a result are replaced; repeated rows get equal results.
+    script that no learnt language has take any. Input columns named as a result are replaced; repeated rows get equal results; very long
+    texts are read whole; an empty table gives an empty one.
     """
     common = df.sparkSession.sparkContext.broadcast(model)
     fields = FIELDS if with_spans else FIELDS[:-1]

@@ -102,8 +102,8 @@ class Counter:
 def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`df` with `n_tokens` and `best_score`, the pieces and the score of each whole text's best segmentation.
 
-    A map over rows. Null and empty texts: 0 and 0. Input columns named as a result are replaced; repeated rows get equal results.
-    `path` is the vocabulary file, which each machine must have.
+    A map over rows. Null and empty texts: 0 and 0. Input columns named as a result are replaced; repeated rows get equal results,
+    very long texts are read whole, an empty table gives an empty one. `path` is the vocabulary file, which each machine must have.
     """
 
     @F.pandas_udf("n_tokens long, best_score double")
