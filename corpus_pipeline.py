@@ -56,7 +56,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, and whether they decode to its text. Null texts have no ids and decode to the empty text."""
+    """The ids of each document, and whether they decode to its text. Null texts have no ids and decode to the empty text.
+
+    The result has columns of its own and no others of `docs`, so none can clash.
+    """
     import public_tokenizers
 
     found = bpe.tokens(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
