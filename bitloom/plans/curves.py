@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.hashing import sha, unsigned_64
-from ..operators import codebook, metrics, moments, rank
-from ..sources.items import codes, items, with_split
+from ..operators import codebook, metrics, moments
 from ..sources.tables import table
-from .registry import CODES, ORACLES, query
+from .registry import ORACLES, query
 from .retrieval import _shells, rounded
 from .semantic import _POST, _shares
 
