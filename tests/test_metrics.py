@@ -145,8 +145,9 @@ def test_quantiles_equal_sorted_values(spark):
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("wide", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, x double").repartition(5)
     shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
-    for width in (4e-4, 0.0):  # too narrow a bracket is made wider
-        got = {r.k: list(r)[1:] for r in quantiles(df, ["k"], "x", shares, width or 1e-9).collect()}
+    # too narrow a bracket is made wider, and one of too many rows is narrowed again
+    for width, most in ((1e-9, 1_000_000), (1.0, 20)):
+        got = {r.k: list(r)[1:] for r in quantiles(df, ["k"], "x", shares, width, most).collect()}
         assert got.keys() == {"ties", "one", "wide", None}
         for k, found in got.items():
             assert np.allclose(found, np.quantile(groups[k], list(shares.values())), rtol=1e-12)
@@ -156,6 +157,20 @@ def test_quantiles_equal_sorted_values(spark):
     assert quantiles(df.where("false"), [], "x", {"m": 0.5}).collect() == [(None,)]
 
 
+def test_a_crowded_bracket_is_narrowed_before_it_is_ordered(spark):
+    from bitloom.operators import quantile
+
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.hash("id") / 2.0**31).alias("__x"))
+    n, ps = df.count(), [0.1, 0.5]
+    whole = spark.createDataFrame([(1, n, [-9.0, 9.0] * 2)], "k int, __n long, __e array<double>")
+    counts, missed, full = quantile._counted(df, whole, ["k"], ps)
+    closer, missed_now, fewer = quantile._counted(df, quantile._narrowed(df, counts, ["k"], ps), ["k"], ps)
+    assert not missed and not missed_now and full == n and fewer < n / 200
+    values = [r["__x"] for r in df.collect()]
+    got = quantile.quantiles(df, ["k"], "__x", {"a": 0.1, "b": 0.5, "c": 0.7}, 1.0, 100).first()
+    assert np.allclose(list(got)[1:], np.quantile(values, [0.1, 0.5, 0.7]), rtol=1e-12)
+
+
 def test_masks_give_the_arrays_jaccard(spark):
     sets = [[], [0], [1, 62], [0, 1, 2], [62], [63], [-1, 2], [1, 2]]
     df = spark.createDataFrame([(a, b) for a in sets for b in sets], "a array<int>, b array<int>")
