@@ -12,6 +12,9 @@ from ..functions.codes import WIDTHS, hamming
 from .exact import unit_sums, unit_total
 
 QUERY_BLOCK = 20_000
+#: Gallery rows in a block of `in_blocks`, and blocks at most.
+BLOCK_ROWS, MOST_BLOCKS = 4_096, 1_024
+QUERY = ("direction", "bits", "qid")
 
 
 def against_all(queries: DataFrame, gallery: DataFrame, key: str = "qid", on: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
@@ -78,11 +81,54 @@ def nested_shells(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
     return met.withColumn("g", unit_total(F.col("gh"), F.col("gl"))).drop("gh", "gl")
 
 
+def in_blocks(gallery: DataFrame, id: str = "did", rows: int = BLOCK_ROWS) -> DataFrame:
+    """`gallery` with block, a number that rises with the (numeric) id: blocks of some `rows` rows, `MOST_BLOCKS` at most.
+
+    A sketch of the ids, one row that is broadcast, says where blocks begin; equal ids are in one block and none is out of order,
+    however good the sketch is.
+    """
+    shares = F.array(*(F.lit((k + 1) / MOST_BLOCKS) for k in range(MOST_BLOCKS)))
+    edges = gallery.agg(F.count("*").alias("__n"), F.percentile_approx(id, shares, 10 * MOST_BLOCKS).alias("__e"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(rows * MOST_BLOCKS) / F.greatest(F.lit(1), "__n")))
+    edges = edges.select(F.filter("__e", lambda x, i: F.pmod(i + 1, step) == 0).alias("__e"))
+    return gallery.crossJoin(F.broadcast(edges)).withColumn("block", F.size(F.filter("__e", lambda x: x < F.col(id)))).drop("__e")
+
+
+def _cells(found: DataFrame, order: Sequence[str], **counts: Column) -> tuple[list[str], DataFrame]:
+    """The keys (query, order, block) and a row for each: `counts`, `before`_x for each count x (its sum over earlier cells of the query),
+    and tie_group from 0. A query has as many rows here as distances times blocks, whatever the gallery's length."""
+    keys = [*QUERY, *order, "block"]
+    own = Window.partitionBy(*QUERY)
+    earlier = own.orderBy(*order, "block").rowsBetween(Window.unboundedPreceding, -1)
+    cells = found.groupBy(*keys).agg(*(c.alias(x) for x, c in counts.items()))
+    sums = {f"before_{x}": F.coalesce(F.sum(x).over(earlier), F.lit(0)) for x in counts}
+    return keys, cells.withColumns({**sums, "tie_group": F.dense_rank().over(own.orderBy(*order)) - 1})
+
+
 def stable_rank(found: DataFrame, *order: str) -> DataFrame:
-    """`found` with rank (ties by gallery id) and tie_group from 0, within direction, width and query."""
-    own = Window.partitionBy("direction", "bits", "qid")
-    keys = [F.col(x) for x in order]
-    return found.withColumns({"rank": F.row_number().over(own.orderBy(*keys, "did")), "tie_group": F.dense_rank().over(own.orderBy(*keys)) - 1})
+    """`found` with rank (ties by gallery id) and tie_group from 0, within direction, width and query.
+
+    `found` has block of `in_blocks`. Rows are ordered inside a block of a tie only; where a block begins is known from counts.
+    """
+    keys, cells = _cells(found, order, n=F.count("*"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("did"))
+    met = found.join(cells.select(*keys, "before_n", "tie_group"), keys)
+    return met.withColumn("rank", F.col("before_n") + place).drop("before_n", "block")
+
+
+def stable_ap(found: DataFrame, relevant: Column, *order: str) -> DataFrame:
+    """(direction, bits, qid, ap) of the order by `order`, then gallery id; 0 where no row is relevant.
+
+    As `stable_rank`, but rows of a block without relevant ones are dropped once they are counted.
+    """
+    found = found.withColumn("__rel", relevant.cast("long"))
+    keys, cells = _cells(found, order, n=F.count("*"), m=F.sum("__rel"))
+    own = Window.partitionBy(*keys).orderBy("did")
+    met = found.select(*keys, "did", "__rel").join(cells.where("m > 0").select(*keys, "before_n", "before_m"), keys)
+    met = met.withColumns({"__rank": F.col("before_n") + F.row_number().over(own), "__hits": F.col("before_m") + F.sum("__rel").over(own)})
+    sums = met.where("__rel = 1").groupBy(*QUERY).agg(F.sum(F.col("__hits") / F.col("__rank")).alias("__s"))
+    whole = cells.groupBy(*QUERY).agg(F.sum("m").alias("__m"))
+    return whole.join(sums, list(QUERY), "left").select(*QUERY, F.coalesce(F.col("__s") / F.nullif("__m", F.lit(0)), F.lit(0.0)).alias("ap"))
 
 
 def first_with_ties(found: DataFrame, k: int, *order: str) -> DataFrame:

@@ -31,6 +31,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.pairs(*rank.directed(_coded(spark, sf_dir)))
 
 
+def _blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = rank.directed(_coded(spark, sf_dir))
+    return rank.pairs(q, rank.in_blocks(d))
+
+
 def nearest_rows(spark: SparkSession, sf_dir: str, k: int, bits: tuple[int, ...] = C.WIDTHS) -> DataFrame:
     """Each query of a direction and width with the gallery rows up to its k-th distance r, ties included; by multi-index hashing."""
     q, d = rank.directed(_coded(spark, sf_dir).where(F.col("bits").isin(*bits)))
@@ -121,7 +126,7 @@ def graded_ndcg(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, o AS (SELECT direction, bits, qid, did, r, row_number() OVER (PARTITION BY direction, bits, qid ORDER BY r, did) AS rank, dense_rank() OVER (PARTITION BY direction, bits, qid ORDER BY r) - 1 AS tie_group FROM pairs) SELECT * FROM o")
 def stable_order(spark, sf_dir):
-    return rank.stable_rank(_pairs(spark, sf_dir), "r").select("direction", "bits", "qid", "did", "r", F.col("rank").cast("long").alias("rank"), F.col("tie_group").cast("long").alias("tie_group"))
+    return rank.stable_rank(_blocked_pairs(spark, sf_dir), "r").select("direction", "bits", "qid", "did", "r", F.col("rank").cast("long").alias("rank"), F.col("tie_group").cast("long").alias("tie_group"))
 
 
 @query(f"WITH {PAIRS}, o AS (SELECT direction, bits, qid, did, r, rank() OVER (PARTITION BY direction, bits, qid ORDER BY r) AS place FROM pairs) SELECT direction, bits, qid, did, r, place FROM o WHERE place <= 10")
@@ -141,7 +146,7 @@ def _detailed(spark, sf_dir):
     q, d = rank.directed(c)
     low = F.lit(65535).cast("long")
     mixed = F.col("qcode").bitwiseXOR(F.col("dcode"))
-    return rank.pairs(q, d).withColumns({"r": F.bit_count(mixed.bitwiseAND(low)).cast("int"), "detail": F.bit_count(F.shiftrightunsigned(mixed, 16)).cast("int")})
+    return rank.pairs(q, rank.in_blocks(d)).withColumns({"r": F.bit_count(mixed.bitwiseAND(low)).cast("int"), "detail": F.bit_count(F.shiftrightunsigned(mixed, 16)).cast("int")})
 
 
 @query(_DETAIL + ", k AS (SELECT *, r * 17 + detail AS key FROM det), o AS (SELECT direction, qid, did, key, row_number() OVER (PARTITION BY direction, qid ORDER BY key, did) AS rank, (key // 17 <> r)::INTEGER AS broken FROM k) SELECT direction, qid, did, key, rank, broken FROM o")
@@ -201,10 +206,7 @@ def precision_recall(spark, sf_dir):
     "SELECT direction, bits, qid, round(coalesce(sum(CASE WHEN rel THEN hits / k END) / nullif(sum(rel::INTEGER), 0), 0), 8) AS ap FROM c GROUP BY ALL"
 )
 def stable_order_ap(spark, sf_dir):
-    found = rank.stable_rank(_pairs(spark, sf_dir), "r").withColumn("rel", (F.col("qlabel") == F.col("dlabel")).cast("int"))
-    w = Window.partitionBy("direction", "bits", "qid").orderBy("rank")
-    found = found.withColumn("hits", F.sum("rel").over(w)).groupBy("direction", "bits", "qid").agg(F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank"))).alias("s"), F.sum("rel").alias("n"))
-    return found.select("direction", "bits", "qid", F.round(F.coalesce(F.col("s") / F.nullif("n", F.lit(0)), F.lit(0.0)), 8).alias("ap"))
+    return rounded(rank.stable_ap(_blocked_pairs(spark, sf_dir), F.col("qlabel") == F.col("dlabel"), "r"))
 
 
 @query(f"WITH {PAIRS}{SERIES}, t AS (SELECT direction, bits, qid, count(*) AS total, sum((qlabel = dlabel)::INTEGER) AS relevant FROM pairs GROUP BY ALL) SELECT direction, bits, qid, round((h + (relevant - 1) / (total - 1) * (total - h)) / total, 8) AS random_ap FROM t JOIN series ON k = total WHERE total > 1")

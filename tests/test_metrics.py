@@ -108,6 +108,27 @@ def test_active_sets_take_the_first_of_the_greatest(spark):
     assert [r[0] for r in spark.range(1).select(F.explode(F.array(*(minhash.expected_mismatch(F.lit(j), 16) for j in (1.0, 0.0, 0.5))))).collect()] == [0, 8, 4]
 
 
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_ranks_by_blocks_equal_a_sort(spark, rows, monkeypatch):
+    monkeypatch.setattr(rank, "MOST_BLOCKS", 16)
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(10 ** np.arange(60) % 10_007 * 3 + np.arange(60) // 20)  # gaps, and some ids more than once
+    gallery = spark.createDataFrame([(int(i), int(rng.integers(4)), int(rng.integers(3))) for i in ids], "did long, r int, dlabel int")
+    q = spark.createDataFrame([("i2t", 16, q, q) for q in range(4)], "direction string, bits int, qid long, qlabel int")
+    blocked = rank.in_blocks(gallery, rows=rows).dropDuplicates(["did"])
+    found = q.crossJoin(blocked)
+    got = rank.stable_rank(found, "r").collect()
+    aps = {r.qid: r.ap for r in rank.stable_ap(found, F.col("qlabel") == F.col("dlabel"), "r").collect()}
+    n_blocks = blocked.agg(F.countDistinct("block")).first()[0]
+    assert (n_blocks == 1) == (rows == 10_000) and n_blocks <= 17
+    for q in range(4):
+        own = sorted((r.r, r.did, r.dlabel) for r in got if r.qid == q)
+        assert [(r.rank, r.r, r.did) for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == [(k + 1, a, b) for k, (a, b, _) in enumerate(own)]
+        assert {(r.r, r.tie_group) for r in got if r.qid == q} == {(a, k) for k, a in enumerate(sorted({a for a, _, _ in own}))}
+        at = [k + 1 for k, x in enumerate(own) if x[2] == q]
+        assert aps[q] == pytest.approx(sum((k + 1) / p for k, p in enumerate(at)) / len(at) if at else 0.0)
+
+
 def test_blocks_of_queries_give_the_same_pairs(spark):
     q, d = spark.range(0, 23).select(F.col("id").alias("qid")), spark.range(0, 50).select(F.col("id").alias("did"))
     assert rank.against_all(q, d, block=5).distinct().count() == rank.against_all(q, d).count() == 23 * 50
