@@ -60,9 +60,9 @@ def shells(q: DataFrame, d: DataFrame) -> DataFrame:
     return found.groupBy("direction", "bits", "qid", "r").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("gain") > 0, F.col("c")).otherwise(0)).alias("m"), F.sum(F.col("gain") * F.col("c")).alias("g"))
 
 
-def nested_shells(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
-    """`shells` of all directions and widths in one pass; rows: (id, is_q, is_d, labels, image, text), whose codes of 64 bits begin with
-    the codes of every smaller width.
+def nested_pairs(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
+    """(direction, bits, qid, r, gain, c): queries and gallery cells of all directions and widths in one pass, c rows in a cell; rows:
+    (id, is_q, is_d, labels, image, text), whose codes of 64 bits begin with the codes of every smaller width.
 
     A query meets a gallery cell (image code, text code, labels) once, their gain is computed once, and six distances come out of the two
     differences by masks; so the codes are read once and pairs are a sixth of those that meet one by one.
@@ -75,12 +75,22 @@ def nested_shells(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
     met = met.select("qid", "c", F.coalesce(mask_jaccard(F.col("qm"), F.col("dm")), jaccard(F.col("ql"), F.col("dl"))).alias("gain"), *(F.col(a).bitwiseXOR(F.col(b)).alias(w) for w, a, b in (("i2t", "qi", "dt"), ("t2i", "qt", "di"))))
     far = lambda w, b: F.bit_count(F.col(w) if b == 64 else F.col(w).bitwiseAND(F.lit((1 << b) - 1).cast("long"))).cast("int")
     each = F.array(*(F.struct(F.lit(w).alias("direction"), F.lit(b).alias("bits"), far(w, b).alias("r")) for w in ("i2t", "t2i") for b in widths))
-    met = met.select("qid", "c", "gain", F.explode(each).alias("x")).select("x.direction", "x.bits", "qid", "x.r", "c", "gain")
+    return met.select("qid", "c", "gain", F.explode(each).alias("x")).select("x.direction", "x.bits", "qid", "x.r", "c", "gain")
+
+
+def nested_shells(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
+    """`shells` of all directions and widths in one pass over `nested_pairs`."""
+    met = nested_pairs(rows, widths)
     high, low = unit_sums(F.col("gain"), F.col("c"))
     met = met.groupBy("direction", "bits", "qid", "r").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("gain") > 0, F.col("c")).otherwise(0)).alias("m"), high.alias("gh"), low.alias("gl"))
     return met.withColumn("g", unit_total(F.col("gh"), F.col("gl"))).drop("gh", "gl")
 
 
+def graded_counts(rows: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
+    """(direction, bits, r, gain, n): how many pairs have a distance and a gain. Its rows are distances times the gains that occur."""
+    return nested_pairs(rows, widths).groupBy("direction", "bits", "r", "gain").agg(F.sum("c").alias("n"))
+
+
 def in_blocks(gallery: DataFrame, id: str = "did", rows: int = BLOCK_ROWS) -> DataFrame:
     """`gallery` with block, a number that rises with the (numeric) id: blocks of some `rows` rows, `MOST_BLOCKS` at most.
 

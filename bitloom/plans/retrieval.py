@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import labels as L
 from ..functions.series import with_series
-from ..operators import codebook, metrics, nearest, rank
+from ..operators import codebook, losses, metrics, nearest, rank
 from ..sources.items import codes, items, wide_codes, with_split
 from .registry import CODES, ITEMS, ORACLES, PAIRS, SERIES, query
 
@@ -112,7 +112,11 @@ _J = ", ".join(f"round(CASE WHEN ideal_{k} > 0 THEN dcg_{k} / ideal_{k} ELSE 0 E
     + f" GROUP BY ALL) SELECT direction, bits, qid, {_J} FROM got JOIN ideal USING (direction, bits, qid)"
 )
 def graded_ndcg(spark, sf_dir):
-    rows = _wide(spark, sf_dir)
+    return rounded(_graded(_wide(spark, sf_dir)).select("direction", "bits", "qid", *(f"jndcg_{k}" for k in metrics.CUTOFFS)))
+
+
+def _graded(rows: DataFrame) -> DataFrame:
+    """`metrics.query_metrics` and jndcg_k for each cut-off."""
     got = metrics.query_metrics(rank.nested_shells(rows))
     # the ideal order knows neither distances nor directions: queries meet the gallery's distinct label sets once
     sets = rows.where("is_d").groupBy(F.col("labels").alias("dlabels")).agg(F.count("*").alias("c"))
@@ -120,8 +124,49 @@ def graded_ndcg(spark, sf_dir):
     gains = rank.against_all(q, sets).groupBy("qid", L.jaccard(F.col("qlabels"), F.col("dlabels")).alias("gain")).agg(F.sum("c").alias("n"))
     for k in metrics.CUTOFFS:
         got = got.join(metrics.ideal_gain(gains, k, ("qid",)).withColumnRenamed("ideal", f"ideal_{k}"), "qid")
-    cut = lambda k: F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0).alias(f"jndcg_{k}")
-    return rounded(got.select("direction", "bits", "qid", *map(cut, metrics.CUTOFFS)))
+    return got.withColumns({f"jndcg_{k}": F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0) for k in metrics.CUTOFFS})
+
+
+@query(
+    _PER_QUERY.replace("WITH ", f"WITH graded_q AS ({ORACLES['graded_ndcg']}), ", 1)
+    + ", cell AS (SELECT direction, label, "
+    + ", ".join(f"avg({c}) FILTER (bits = 64) - avg({c}) FILTER (bits = 16) AS {n}" for n, c in (("bin", "pq.ndcg_50"), ("gra", "j.jndcg_50")))
+    + " FROM pq JOIN graded_q j USING (direction, bits, qid) JOIN items ON items.id = qid GROUP BY ALL), long AS (SELECT direction, 'binary' AS gain, bin AS x FROM cell UNION ALL SELECT direction, 'graded', gra FROM cell), "
+    "rec AS (SELECT direction, gain, count(*) AS cells, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS spread, min(x) AS least, max(x) AS greatest, sum((round(x, 8) >= 0.01)::INTEGER)::BIGINT AS reached FROM long GROUP BY ALL) "
+    "SELECT direction, gain, cells, round(mean, 7) AS mean, round(spread, 7) AS spread, round(least, 7) AS least, round(greatest, 7) AS greatest, reached, bool_and(3 * reached >= 2 * cells) OVER () AS passed FROM rec"
+)
+def modality_gate(spark, sf_dir, threshold=0.01):
+    """What 64 bits win over 16 at the 50th place, by direction and kind of gain: mean, spread and extremes over cells (labels of queries),
+    and cells that reach the threshold; the gate is passed if two thirds of the cells do, for every direction and gain."""
+    rows = _wide(spark, sf_dir)
+    per = _graded(rows).select("direction", "bits", "qid", F.col("ndcg_50").alias("binary"), F.col("jndcg_50").alias("graded"))
+    per = per.join(rows.where("is_q").select(F.col("id").alias("qid"), "label"), "qid")
+    own = lambda c, b: F.avg(F.when(F.col("bits") == b, F.col(c)))
+    cells = per.groupBy("direction", "label").agg(*((own(c, 64) - own(c, 16)).alias(c) for c in ("binary", "graded")))
+    long = cells.unpivot(["direction", "label"], ["binary", "graded"], "gain", "x")
+    reached = F.count_if(F.round("x", 8) >= threshold)
+    rec = long.groupBy("direction", "gain").agg(F.count("*").alias("cells"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("spread"), F.min("x").alias("least"), F.max("x").alias("greatest"), reached.alias("reached"))
+    gate = rec.agg(F.bool_and(3 * F.col("reached") >= 2 * F.col("cells")).alias("passed"))
+    return rounded(rec.crossJoin(F.broadcast(gate)), 7)
+
+
+@query(
+    f"WITH {PAIRS}, x AS (SELECT direction, bits, gain > 0 AS same, 1 - 2 * r / bits::DOUBLE AS s, (1 - r / bits::DOUBLE) - gain AS off FROM graded), y AS (SELECT *, CASE WHEN same THEN ln(1 + exp(-5 * s)) ELSE ln(1 + exp(5 * s)) END AS lo, CASE WHEN abs(off) < 0.1 THEN off * off / 0.2 ELSE abs(off) - 0.05 END AS gr FROM x) "
+    "SELECT direction, bits, count(*) AS n_pairs, round(avg(same::INTEGER), 8) AS positive_share, round((avg(lo) FILTER (same) + avg(lo) FILTER (NOT same)) / 2, 8) AS logistic, round((avg(gr) FILTER (same) + avg(gr) FILTER (NOT same)) / 2, 8) AS graded, round(avg(off * off), 8) AS mse FROM y GROUP BY ALL"
+)
+def pair_losses(spark, sf_dir):
+    """The balanced logistic ranking loss, the graded regression loss and its plain squares over all pairs, from counts by distance and gain."""
+    return rounded(losses.pair_losses(rank.graded_counts(_wide(spark, sf_dir))))
+
+
+@query(
+    f"WITH {PAIRS}, t AS (SELECT a.direction, a.bits, a.qid, sum(a.m * (b.n - b.m)) AS triplets, sum(a.m * (b.n - b.m) * greatest(0, 4 + a.r - b.r)) AS h, sum(a.m * (b.n - b.m) * CASE WHEN b.r > a.r THEN 1 WHEN b.r = a.r THEN 0.5 ELSE 0 END::DOUBLE) AS w FROM shells a JOIN shells b USING (direction, bits, qid) GROUP BY ALL) "
+    "SELECT direction, bits, count(*) AS queries, sum(triplets)::BIGINT AS triplets, round(avg(h / nullif(triplets, 0)::DOUBLE), 8) AS hinge, round(avg(w / nullif(triplets, 0)::DOUBLE), 8) AS ordered FROM t GROUP BY ALL"
+)
+def triplet_losses(spark, sf_dir):
+    """The hinge over all (query, relevant, other) and the share of them in the right order, averaged over queries."""
+    per = losses.triplet_losses(_shells(spark, sf_dir))
+    return rounded(per.groupBy("direction", "bits").agg(F.count("*").alias("queries"), F.sum("triplets").alias("triplets"), F.avg("hinge").alias("hinge"), F.avg("ordered").alias("ordered")))
 
 
 @query(f"WITH {PAIRS}, o AS (SELECT direction, bits, qid, did, r, row_number() OVER (PARTITION BY direction, bits, qid ORDER BY r, did) AS rank, dense_rank() OVER (PARTITION BY direction, bits, qid ORDER BY r) - 1 AS tie_group FROM pairs) SELECT * FROM o")

@@ -113,3 +113,30 @@ def head_summary(spark, sf_dir):
     """Mean, least and greatest over heads, and the heads in an order that does not depend on theirs."""
     h = F.array("h1", "h2", "h3")
     return rounded(_shares(spark, sf_dir).select("o", "k", (F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / 3).alias("mean"), F.array_min(h).alias("low"), F.array_max(h).alias("high"), F.array_sort(F.transform(h, lambda x: F.round(x, 8))).alias("evidence")))
+
+
+_EACH = lambda form: ", ".join(form.format(i=i) for i in (1, 2, 3))
+
+
+@query(
+    _POST + f", t AS (SELECT o, {_EACH('sum(h{i}) AS s{i}')} FROM s GROUP BY o), j AS (SELECT a.o, {_EACH('sum(ln(1 - least(a.h{i} * b.h{i}, 1 - 1e-7))) AS l{i}, sum(a.h{i} * b.h{i}) AS b{i}')} FROM s a JOIN s b ON b.o = a.o + 1 AND a.k = b.k GROUP BY a.o) "
+    f"SELECT a.o, flatten(list_sort([{_EACH('[round(1 - exp(coalesce(l{i}, 0)), 8), round(coalesce(b{i}, 0) / greatest(a.s{i} + b.s{i} - coalesce(b{i}, 0), 1e-8), 8)]')}])) AS evidence FROM t a JOIN t b ON b.o = a.o + 1 LEFT JOIN j ON j.o = a.o"
+)
+def relation_evidence(spark, sf_dir):
+    """Each head's (relevance, soft Jaccard) of an order and the next one, the pairs in an order that does not depend on the heads'.
+
+    Labels that only one of both has add nothing to a product, so rows meet by label and no posterior is filled up.
+    """
+    s = _shares(spark, sf_dir)
+    heads = ("h1", "h2", "h3")
+    after = s.select((F.col("o") - 1).alias("o"), "k", *(F.col(h).alias(f"next_{h}") for h in heads))
+    both = lambda h: F.col(h) * F.col(f"next_{h}")
+    logs = (F.sum(F.log1p(-F.least(both(h), F.lit(1 - 1e-7)))).alias(f"log_{h}") for h in heads)
+    met = s.join(after, ["o", "k"]).groupBy("o").agg(*logs, *(F.sum(both(h)).alias(f"both_{h}") for h in heads))
+    whole = s.groupBy("o").agg(*(F.sum(h).alias(f"a_{h}") for h in heads))
+    other = whole.select((F.col("o") - 1).alias("o"), *(F.col(f"a_{h}").alias(f"b_{h}") for h in heads))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    relevance = lambda h: F.round(-F.expm1(zero(f"log_{h}")), 8)
+    overlap = lambda h: F.round(zero(f"both_{h}") / F.greatest(F.col(f"a_{h}") + F.col(f"b_{h}") - zero(f"both_{h}"), F.lit(1e-8)), 8)
+    pairs = F.array(*(F.array(relevance(h), overlap(h)) for h in heads))
+    return whole.join(other, "o").join(met, "o", "left").select("o", F.flatten(F.array_sort(pairs)).alias("evidence"))
