@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import CROWD, join_unevenly, settle
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step: links each node's neighbours above it (or itself and those below) to the least of them."""
+def _stars(edges: DataFrame, large: bool, crowd: int) -> DataFrame:
+    """One large-star or small-star step: links each node's neighbours above it (or itself and those below) to the least of them.
+
+    Nodes with over `crowd` neighbours, of which there are few, are joined apart: their neighbours stay where they are.
+    """
+    pairs = edges.union(edges.select("v", "u")) if large else edges
+    first = F.least(F.min("v"), F.first("u")) if large else F.min("v")
+    least = pairs.groupBy("u").agg(first.alias("m"), F.count("*").alias("times"))
+    met = join_unevenly(pairs, least, "u", "times", crowd)
     if large:
-        pairs = edges.union(edges.select("v", "u"))
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = pairs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, crowd: int = CROWD) -> DataFrame:
     """(node, root) for each node of `edges` (u, v: long) but the roots: root is the least node reachable.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014) until nothing changes; each round is checkpointed, so a
@@ -35,5 +38,5 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        edges = settle(_stars(_stars(edges, True), False))
+        edges = settle(_stars(_stars(edges, True, crowd), False, crowd))
     raise RuntimeError(f"components not settled after {most} rounds")
