@@ -12,7 +12,7 @@ from ..operators.quantile import quantiles
 from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import ITEMS, query
-from .retrieval import rounded
+from .retrieval import from_twelfth, rounded, sql_from_twelfth
 
 
 @query("WITH n AS (SELECT vec_id, embedding, greatest(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 1e-8) AS len FROM embeddings) SELECT vec_id, round(len, 6) AS length, round(list_sum([(x::DOUBLE / len) ** 2 FOR x IN embedding]), 6) AS unit FROM n")
@@ -156,11 +156,11 @@ def rolled_pairs(spark, sf_dir):
     return a.join(b, "other").groupBy("shift").agg(F.count("*").alias("n_pairs"), F.round(F.avg((F.col("label") == F.col("l2")).cast("int")), 8).alias("same"), F.round(F.avg(C.dot(F.col("x"), F.col("y"))), 6).alias("mean_dot"))
 
 
-@query("WITH x AS (SELECT label, unnest(range(0, 64)) AS dim, embedding FROM embeddings), m AS (SELECT label, dim, avg(embedding[dim + 1]::DOUBLE)::FLOAT AS v FROM x GROUP BY ALL) SELECT label, list([round(v::DOUBLE, 5)] ORDER BY dim) AS pooled FROM m GROUP BY label")
+@query(f"WITH x AS (SELECT label, unnest(range(0, 64)) AS dim, embedding FROM embeddings), m AS (SELECT label, dim, {sql_from_twelfth('avg(embedding[dim + 1]::DOUBLE)', 12)}::FLOAT AS v FROM x GROUP BY ALL) SELECT label, list([{sql_from_twelfth('v::DOUBLE', 5)}] ORDER BY dim) AS pooled FROM m GROUP BY label")
 def pooled_vectors(spark, sf_dir):
-    """Means by label, summed in doubles and kept as floats, in order of dimension."""
-    m = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).cast("float").alias("v"))
-    return m.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda z: F.array(F.round(z["v"].cast("double"), 5))).alias("pooled"))
+    """Means by label, summed in doubles and kept, to 12 places, as floats, in order of dimension."""
+    m = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(from_twelfth(F.avg(F.col("x").cast("double")), 12).cast("float").alias("v"))
+    return m.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda z: F.array(from_twelfth(z["v"].cast("double"), 5))).alias("pooled"))
 
 
 _TURNED = "[round(list_sum([CASE WHEN bit_count(i & j) % 2 = 0 THEN embedding[j + 1]::DOUBLE ELSE -(embedding[j + 1]::DOUBLE) END FOR j IN range(0, 64)]), 6) FOR i IN range(0, 64)]"
