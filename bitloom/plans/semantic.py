@@ -11,7 +11,7 @@ from ..operators import minhash, rank
 from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import ITEMS, query
-from .retrieval import rounded
+from .retrieval import from_twelfth, rounded, sql_from_twelfth
 
 _SKETCH = ITEMS + (
     ", cm AS (SELECT bit, label, sha256(concat_ws(chr(0), 'minhash', '20260822', bit::VARCHAR, label::VARCHAR)) AS ord FROM (SELECT DISTINCT unnest(labels) AS label FROM items), range(0, 16) b(bit)), "
@@ -108,11 +108,12 @@ def head_diversity(spark, sf_dir):
     return rounded(out.withColumn("diverse", (F.col("mad_12") > 0.01) & (F.col("mad_13") > 0.01)))
 
 
-@query(_POST + " SELECT o, k::INTEGER AS k, round((h1 + h2 + h3) / 3, 8) AS mean, round(least(h1, h2, h3), 8) AS low, round(greatest(h1, h2, h3), 8) AS high, list_sort([round(h1, 8), round(h2, 8), round(h3, 8)]) AS evidence FROM s")
+@query(_POST + f" SELECT o, k::INTEGER AS k, {sql_from_twelfth('(h1 + h2 + h3) / 3')} AS mean, {sql_from_twelfth('least(h1, h2, h3)')} AS low, {sql_from_twelfth('greatest(h1, h2, h3)')} AS high, list_sort([{', '.join(sql_from_twelfth(f'h{i}') for i in (1, 2, 3))}]) AS evidence FROM s")
 def head_summary(spark, sf_dir):
-    """Mean, least and greatest over heads, and the heads in an order that does not depend on theirs."""
+    """Mean, least and greatest over heads, and the heads in an order that does not depend on theirs; to 8 places, from 12."""
     h = F.array("h1", "h2", "h3")
-    return rounded(_shares(spark, sf_dir).select("o", "k", (F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / 3).alias("mean"), F.array_min(h).alias("low"), F.array_max(h).alias("high"), F.array_sort(F.transform(h, lambda x: F.round(x, 8))).alias("evidence")))
+    mean = F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / 3
+    return _shares(spark, sf_dir).select("o", "k", from_twelfth(mean).alias("mean"), from_twelfth(F.array_min(h)).alias("low"), from_twelfth(F.array_max(h)).alias("high"), F.array_sort(F.transform(h, lambda x: from_twelfth(x))).alias("evidence"))
 
 
 _EACH = lambda form: ", ".join(form.format(i=i) for i in (1, 2, 3))
@@ -120,10 +121,10 @@ _EACH = lambda form: ", ".join(form.format(i=i) for i in (1, 2, 3))  # noqa: E73
 
 @query(
     _POST + f", t AS (SELECT o, {_EACH('sum(h{i}) AS s{i}')} FROM s GROUP BY o), j AS (SELECT a.o, {_EACH('sum(ln(1 - least(a.h{i} * b.h{i}, 1 - 1e-7))) AS l{i}, sum(a.h{i} * b.h{i}) AS b{i}')} FROM s a JOIN s b ON b.o = a.o + 1 AND a.k = b.k GROUP BY a.o) "
-    f"SELECT a.o, flatten(list_sort([{_EACH('[round(1 - exp(coalesce(l{i}, 0)), 8), round(coalesce(b{i}, 0) / greatest(a.s{i} + b.s{i} - coalesce(b{i}, 0), 1e-8), 8)]')}])) AS evidence FROM t a JOIN t b ON b.o = a.o + 1 LEFT JOIN j ON j.o = a.o"
+    f"SELECT a.o, flatten(list_sort([{_EACH('[' + sql_from_twelfth('1 - exp(coalesce(l{i}, 0))') + ', ' + sql_from_twelfth('coalesce(b{i}, 0) / greatest(a.s{i} + b.s{i} - coalesce(b{i}, 0), 1e-8)') + ']')}])) AS evidence FROM t a JOIN t b ON b.o = a.o + 1 LEFT JOIN j ON j.o = a.o"
 )
 def relation_evidence(spark, sf_dir):
-    """Each head's (relevance, soft Jaccard) of an order and the next one, the pairs in an order that does not depend on the heads'.
+    """Each head's (relevance, soft Jaccard) of an order and the next one, the pairs in an order that does not depend on the heads'; to 8 places, from 12.
 
     Labels that only one of both has add nothing to a product, so rows meet by label and no posterior is filled up.
     """
@@ -136,7 +137,7 @@ def relation_evidence(spark, sf_dir):
     whole = s.groupBy("o").agg(*(F.sum(h).alias(f"a_{h}") for h in heads))
     other = whole.select((F.col("o") - 1).alias("o"), *(F.col(f"a_{h}").alias(f"b_{h}") for h in heads))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    relevance = lambda h: F.round(-F.expm1(zero(f"log_{h}")), 8)
-    overlap = lambda h: F.round(zero(f"both_{h}") / F.greatest(F.col(f"a_{h}") + F.col(f"b_{h}") - zero(f"both_{h}"), F.lit(1e-8)), 8)
+    relevance = lambda h: from_twelfth(-F.expm1(zero(f"log_{h}")))
+    overlap = lambda h: from_twelfth(zero(f"both_{h}") / F.greatest(F.col(f"a_{h}") + F.col(f"b_{h}") - zero(f"both_{h}"), F.lit(1e-8)))
     pairs = F.array(*(F.array(relevance(h), overlap(h)) for h in heads))
     return whole.join(other, "o").join(met, "o", "left").select("o", F.flatten(F.array_sort(pairs)).alias("evidence"))
