@@ -55,13 +55,17 @@ c AS (SELECT o, k, sum(quantity) AS quantity, sum(price) AS price, count(*)::DOU
 s AS (SELECT o, k, most, quantity / sum(quantity) OVER (PARTITION BY o) AS h1, price / sum(price) OVER (PARTITION BY o) AS h2, n / sum(n) OVER (PARTITION BY o) AS h3 FROM c)"""
 
 
-def _shares(spark, sf_dir):
-    """(o, k, most, h1, h2, h3): an order's share in brand k by quantity, price and lines, and its largest quantity there."""
+def _lines(spark, sf_dir):
+    """Lines with the brand of their part, and the brands in use, numbered: a few dozen rows."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("brand"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     b = lines.join(part, lines.l_partkey == part.p_partkey)
-    # brands in use, numbered: a few dozen rows
-    used = b.select("brand").distinct().withColumn("k", F.row_number().over(Window.orderBy("brand")) - 1)
+    return b, b.select("brand").distinct().withColumn("k", F.row_number().over(Window.orderBy("brand")) - 1)
+
+
+def _shares(spark, sf_dir):
+    """(o, k, most, h1, h2, h3): an order's share in brand k by quantity, price and lines, and its largest quantity there."""
+    b, used = _lines(spark, sf_dir)
     c = b.join(F.broadcast(used), "brand").groupBy(F.col("l_orderkey").alias("o"), "k").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.count("*").cast("double").alias("n"), F.max("l_quantity").alias("most"))
     w = Window.partitionBy("o")
     return c.select("o", "k", "most", *((F.col(x) / F.sum(x).over(w)).alias(h) for h, x in (("h1", "quantity"), ("h2", "price"), ("h3", "n"))))

@@ -31,3 +31,9 @@ def test_means_next_to_zero(spark, tmp_path):
     rows = [(0, [-1e-6] * 64, 0), (1, [-2e-6] * 64, 0), (2, [0.015625] * 64, 1)]
     got, want = both(spark, tmp_path, "pooled_vectors", {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")})
     assert got and got == want
+
+
+def test_projections_hash_labels_not_rows(spark):
+    plan = plans.QUERIES["posterior_projections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    hashed = [line for line in plan.splitlines() if "sha2(" in line]
+    assert hashed and not any("h1" in line for line in hashed)
