@@ -38,9 +38,10 @@ def acknowledged_chunks(spark, sf_dir):
     sent = o.select("o_custkey", "o_orderkey", i.cast("long").alias("ordinal"), receipt.alias("receipt")).where("not (o_custkey % 5 = 0 and ordinal = 2)")
     twice = sent.select("*", F.explode(F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
     folder = chunks.shared_folder(spark)
-    dealt = twice.repartition(6, F.xxhash64("o_orderkey", "copy"))
+    files = spark.sparkContext.defaultParallelism  # of each of three batches
+    dealt = twice.repartition(3 * files, F.xxhash64("o_orderkey", "copy"))
     dealt.select(F.col("o_custkey").cast("string").alias("cell"), "ordinal", "receipt").write.parquet(f"{folder}/sent")
-    acks.run(spark, f"{folder}/sent", folder, 2)
+    acks.run(spark, f"{folder}/sent", folder, files)
     return acks.frontiers(acks.events(spark, folder))
 
 

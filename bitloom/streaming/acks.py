@@ -18,6 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Chunks of a cell that wait for an earlier one at most. Others are refused: they stay unacknowledged, and their sender has them still.
 HELD = 4096
+#: Groups that cells are dealt to by hash. A group's cells are taken in by one call and share a state, so that a call does not cost more than
+#: its work; a state grows with the cells over this number. It belongs to a stream and must not change while its offsets are kept.
+GROUPS = 4096
 START = "0" * 64
 _EVENTS = "cell string, ordinal long, event string, chain string"
 
@@ -49,23 +52,31 @@ def step(frontier: int, chain: str, waiting: dict[int, str], arrived: list[tuple
     return frontier, chain, events
 
 
-def acknowledge(chunks: DataFrame, held: int = HELD) -> DataFrame:
+def acknowledge(chunks: DataFrame, held: int = HELD, groups: int = GROUPS) -> DataFrame:
     """(cell, ordinal, event, chain) of a stream of chunks (cell, ordinal, receipt); chain: of released chunks, the cell's up to there.
 
     A cell's chunks of one batch are taken in by ordinal, then receipt. State is a frontier, a hash and at most `held` receipts a cell.
     """
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frontier, chain, kept = state.get if state.exists else (0, START, "{}")
-        waiting = {int(k): v for k, v in json.loads(kept).items()}
-        rows = pd.concat(list(frames))[["ordinal", "receipt"]].sort_values(["ordinal", "receipt"])
-        arrived = [(None if pd.isna(o) else int(o), r) for o, r in rows.itertuples(index=False)]
-        frontier, chain, events = step(frontier, chain, waiting, arrived, held)
-        state.update((frontier, chain, json.dumps(waiting)))
-        if events:
-            yield pd.DataFrame([(key[0], *e) for e in events], columns=["cell", "ordinal", "event", "chain"]).astype({"ordinal": "Int64"})
-
-    return chunks.select("cell", "ordinal", "receipt").groupBy("cell").applyInPandasWithState(follow, _EVENTS, "frontier long, chain string, waiting string", "append", GroupStateTimeout.NoTimeout)
+        cells = {c: (f, chain, {int(k): v for k, v in waiting.items()}) for c, f, chain, waiting in (json.loads(state.get[0]) if state.exists else ())}
+        arrived: dict[str | None, list[tuple[int | None, str | None]]] = {}
+        for rows in frames:
+            for cell, ordinal, receipt in zip(*(rows[c].tolist() for c in ("cell", "ordinal", "receipt"))):
+                arrived.setdefault(cell, []).append((None if pd.isna(ordinal) else int(ordinal), receipt))
+        found = []
+        for cell, own in arrived.items():
+            own.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or ""))
+            frontier, chain, waiting = cells.get(cell, (0, START, {}))
+            frontier, chain, events = step(frontier, chain, waiting, own, held)
+            cells[cell] = frontier, chain, waiting
+            found += [(cell, *e) for e in events]
+        state.update((json.dumps([(c, *v) for c, v in cells.items()]),))
+        if found:
+            yield pd.DataFrame(found, columns=["cell", "ordinal", "event", "chain"]).astype({"ordinal": "Int64"})
+
+    dealt = chunks.select("cell", "ordinal", "receipt", F.pmod(F.xxhash64("cell"), F.lit(groups)).alias("group"))
+    return dealt.groupBy("group").applyInPandasWithState(follow, _EVENTS, "cells string", "append", GroupStateTimeout.NoTimeout)
 
 
 def events_of_batch(batch: DataFrame, number: int, folder: str) -> None:

@@ -78,3 +78,17 @@ def test_new_files_go_on_from_the_state(spark, tmp_path):
     acks.run(spark, path, folder)
     r = acks.frontiers(acks.events(spark, folder)).first()
     assert (r.released, r.waiting, r.repeated, r.chain) == (3, 0, 1, chain("xyz"))
+
+
+def test_cells_share_calls_and_states(spark, tmp_path, monkeypatch):
+    """Many cells go through few groups: no call for each cell, and each keeps its own frontier."""
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(str(c), i, f"{c}.{i}") for c in range(300) for i in range(4) if i != 1 or c % 2]
+    spark.createDataFrame([*rows, (None, 0, "none")], "cell string, ordinal long, receipt string").repartition(3).write.parquet(path)
+    monkeypatch.setattr(acks.acknowledge, "__defaults__", (acks.HELD, 5))
+    acks.run(spark, path, folder, 1)
+    got = {r.cell: (r.released, r.waiting) for r in acks.frontiers(acks.events(spark, folder).where("cell is not null")).collect()}
+    assert got == {str(c): (4, 0) if c % 2 else (1, 2) for c in range(300)}
+    assert acks.events(spark, folder).where("cell is null and event = 'released'").count() == 1
+    state = spark.read.format("statestore").load(f"{folder}/offsets")
+    assert 0 < state.count() <= 5
