@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import encoders
-from ..operators import moments, rank
+from ..operators import moments, similarity
 from ..operators.quantile import quantiles
 from ..sources.items import items, with_split
 from ..sources.tables import table
@@ -108,42 +107,33 @@ def ridge_labels(spark, sf_dir, penalty=1.0):
 _SIM = f"WITH {ITEMS}, u AS (SELECT id, [x::DOUBLE / greatest(sqrt(list_sum([y::DOUBLE * y::DOUBLE FOR y IN image])), 1e-8) FOR x IN image] AS v, is_q, is_d FROM split), s AS (SELECT q.id AS qid, d.id AS did, round(list_dot_product(q.v, d.v), 9) AS sim FROM u q, u d WHERE q.is_q AND d.is_d)"
 
 
-def _similar(spark, sf_dir):
-    s = with_split(items(spark, sf_dir)).select("id", "is_q", "is_d", C.normalized(F.col("image")).alias("v"))
-    q, d = s.where("is_q").select(F.col("id").alias("qid"), F.col("v").alias("a")), s.where("is_d").select(F.col("id").alias("did"), F.col("v").alias("b"))
-    return rank.against_all(q, d).select("qid", "did", F.round(C.dot(F.col("a"), F.col("b")), 9).alias("sim"))
+def _images(spark, sf_dir):
+    """(id, v) of queries and of the gallery."""
+    s = with_split(items(spark, sf_dir))
+    return tuple(s.where(on).select("id", F.col("image").alias("v")) for on in ("is_q", "is_d"))
 
 
 @query(_SIM + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, did) AS k FROM s) SELECT qid, did, k, round(sim, 6) AS sim FROM k WHERE k IN (3, 4)")
 def near_affinities(spark, sf_dir):
     """The third and fourth nearest gallery rows of each query."""
-    s = _similar(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "did")).cast("long"))
-    return s.where("k <= 4").where("k >= 3").select("qid", "did", "k", F.round("sim", 6).alias("sim"))
+    s = similarity.nearest(*_images(spark, sf_dir), 32, 4)
+    return s.where("k >= 3").select("qid", "did", "k", F.round("sim", 6).alias("sim"))
 
 
 @query(_SIM + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim, did) AS low FROM s), p AS (SELECT qid, did, CASE WHEN low <= 5 THEN 0 ELSE 2 / (1 + exp(-sim)) - 1 END AS a FROM k) SELECT qid, round(sum(a), 6) AS degree, sum((a = 0)::INTEGER)::BIGINT AS pruned, round(max(a), 6) AS strongest FROM p GROUP BY qid")
 def pruned_affinity(spark, sf_dir):
     """Affinities 2 / (1 + exp(-s)) - 1 with each query's five least set to 0."""
-    w = F.row_number().over(Window.partitionBy("qid").orderBy("sim", "did"))
-    p = _similar(spark, sf_dir).withColumn("low", w).withColumn("a", F.when(F.col("low") <= 5, 0.0).otherwise(2 / (1 + F.exp(-F.col("sim"))) - 1))
-    return p.groupBy("qid").agg(F.round(F.sum("a"), 6).alias("degree"), F.count_if(F.col("a") == 0).alias("pruned"), F.round(F.max("a"), 6).alias("strongest"))
+    p = similarity.pruned(*_images(spark, sf_dir), 32, 5)
+    return p.select("qid", F.round("degree", 6).alias("degree"), "pruned", F.round("strongest", 6).alias("strongest"))
 
 
 @query(_SIM + ", a AS (SELECT x.qid AS a, y.qid AS b, sum(x.sim * y.sim) / (sqrt(sum(x.sim ** 2)) * sqrt(sum(y.sim ** 2))) AS second FROM s x JOIN s y ON x.did = y.did AND x.qid < y.qid GROUP BY ALL) SELECT a, b, round(second, 6) AS second_order FROM a")
 def second_order_affinity(spark, sf_dir):
     """Cosines of queries' rows of similarities: for unit rows of vectors that is a product with the gallery's Gram matrix."""
-    s = with_split(items(spark, sf_dir)).select("id", "is_q", "is_d", C.normalized(F.col("image")).alias("v"))
-    e = s.where("is_d").select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    g = e.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    q = s.where("is_q").select("id", F.posexplode("v").alias("i", "x"))
-    qg = q.join(F.broadcast(g), "i").groupBy("id", "j").agg(F.sum(F.col("x") * F.col("g")).alias("y"))  # g: 32 x 32 numbers
-    row = lambda d, k, x, out: d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct(k, x))), lambda z: z[x]).alias(out))
-    left, right = row(qg, "j", "y", "y"), row(q, "i", "x", "x")
-    both = left.join(right, "id")
-    both = both.withColumn("length", F.sqrt(C.dot(F.col("x"), F.col("y"))))
-    a = both.select(F.col("id").alias("a"), F.col("y").alias("ya"), F.col("length").alias("la"))
-    b = both.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("length").alias("lb"))
-    return rank.against_all(a, b, "a").where("a < b").select("a", "b", F.round(C.dot(F.col("ya"), F.col("xb")) / (F.col("la") * F.col("lb")), 6).alias("second_order"))
+    q, d = _images(spark, sf_dir)
+    both = similarity.through(q, similarity.gram_of(d, 32))
+    a, b = both.select("id", F.col("y").alias("v"), "n"), both.select("id", F.col("x").alias("v"), "n")
+    return similarity.upper(a, b, 32, 6).withColumnsRenamed({"qid": "a", "did": "b", "cosine": "second_order"})
 
 
 @query("WITH s AS (SELECT unnest(range(1, 33)) AS shift, vec_id, label, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings) SELECT a.shift::INTEGER AS shift, count(*) AS n_pairs, round(avg((a.label = b.label)::INTEGER), 8) AS same, round(avg(list_dot_product(a.embedding[1:32]::DOUBLE[], b.embedding[33:64]::DOUBLE[])), 6) AS mean_dot FROM s a, n JOIN embeddings b ON b.vec_id = (a.vec_id + a.shift) % n.n GROUP BY a.shift")
