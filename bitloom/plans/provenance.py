@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from ..sources.tables import table
 from ..streaming.chunks import shared_folder
 from .registry import query
 
+#: Bytes of text to a file that `numbered_lines` writes, about.
+FILE_BYTES = 64 << 20
+
 
 @query("SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS digest, contains(text, chr(0)) AS has_nul FROM documents")
 def normalized_texts(spark, sf_dir):
@@ -170,7 +175,9 @@ def canonical_records(spark, sf_dir):
 def numbered_lines(spark, sf_dir):
     """All documents as lines of text files, numbered through without reading a file whole: where lines of each length stand."""
     folder = shared_folder(spark)
-    table(spark, sf_dir, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
+    documents = table(spark, sf_dir, "documents")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    documents.repartitionByRange(max(3, math.ceil(size / FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
     found = readers.lines(spark, folder)
     per = found.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
     before = per.select(F.col("file").alias("own"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
