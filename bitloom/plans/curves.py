@@ -11,7 +11,7 @@ from ..operators import codebook, metrics, moments
 from ..sources.tables import table
 from .registry import ORACLES, query
 from .retrieval import _shells, rounded
-from .semantic import _POST, _lines, _shares
+from .semantic import _POST, _shares, _used
 
 
 @query(f"WITH pr AS ({ORACLES['precision_recall']}), s AS (SELECT direction, bits, grid, precision, lag(precision) OVER (PARTITION BY direction, bits ORDER BY grid) AS before FROM pr) SELECT direction, bits, round(sum((precision + before) / 2) / 100, 6) AS aupr FROM s GROUP BY ALL")
@@ -41,11 +41,11 @@ _BITS = 16
 )
 def posterior_projections(spark, sf_dir):
     """Signs of posteriors less their mean, projected on directions of -1 and 1 that hashes of (bit, label) give."""
-    s = _shares(spark, sf_dir).select("o", "k", "h1")
+    s = _shares(spark, sf_dir).select("o", "brand", "h1")
     sign = lambda b: F.when(F.conv(F.substring(sha("projection-v1", str(b), F.col("k")), 64, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
     # hashed once a label, not once a row
-    signs = _lines(spark, sf_dir)[1].select("k", F.array(*(sign(b) for b in range(_BITS))).alias("signs"))
-    each = s.join(F.broadcast(signs), "k").select("o", *((F.col("h1") * F.col("signs")[b]).alias(f"x{b}") for b in range(_BITS)))
+    signs = _used(spark, sf_dir).select("brand", F.array(*(sign(b) for b in range(_BITS))).alias("signs"))
+    each = s.join(F.broadcast(signs), "brand").select("o", *((F.col("h1") * F.col("signs")[b]).alias(f"x{b}") for b in range(_BITS)))
     own = each.groupBy("o").agg(*(F.sum(f"x{b}").alias(f"x{b}") for b in range(_BITS)))
     centre = own.agg(*(F.avg(f"x{b}").alias(f"c{b}") for b in range(_BITS)))  # one row
     bits = sum((F.when(F.round(F.col(f"x{b}") - F.col(f"c{b}"), 9) >= 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(_BITS)), F.lit(0).cast("long"))

@@ -56,19 +56,23 @@ s AS (SELECT o, k, most, quantity / sum(quantity) OVER (PARTITION BY o) AS h1, p
 
 
 def _lines(spark, sf_dir):
-    """Lines with the brand of their part, and the brands in use, numbered: a few dozen rows."""
+    """Lines with the brand of their part."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("brand"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    b = lines.join(part, lines.l_partkey == part.p_partkey)
-    return b, b.select("brand").distinct().withColumn("k", F.row_number().over(Window.orderBy("brand")) - 1)
+    return lines.join(part, lines.l_partkey == part.p_partkey)
+
+
+def _used(spark, sf_dir):
+    """The brands in use, numbered: a few dozen rows."""
+    return _lines(spark, sf_dir).select("brand").distinct().withColumn("k", F.row_number().over(Window.orderBy("brand")) - 1)
 
 
 def _shares(spark, sf_dir):
-    """(o, k, most, h1, h2, h3): an order's share in brand k by quantity, price and lines, and its largest quantity there."""
-    b, used = _lines(spark, sf_dir)
-    c = b.join(F.broadcast(used), "brand").groupBy(F.col("l_orderkey").alias("o"), "k").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.count("*").cast("double").alias("n"), F.max("l_quantity").alias("most"))
+    """(o, brand, most, h1, h2, h3): an order's share in a brand by quantity, price and lines, and its largest quantity there."""
+    b = _lines(spark, sf_dir).where("brand is not null")
+    c = b.groupBy(F.col("l_orderkey").alias("o"), "brand").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.count("*").cast("double").alias("n"), F.max("l_quantity").alias("most"))
     w = Window.partitionBy("o")
-    return c.select("o", "k", "most", *((F.col(x) / F.sum(x).over(w)).alias(h) for h, x in (("h1", "quantity"), ("h2", "price"), ("h3", "n"))))
+    return c.select("o", "brand", "most", *((F.col(x) / F.sum(x).over(w)).alias(h) for h, x in (("h1", "quantity"), ("h2", "price"), ("h3", "n"))))
 
 
 @query(
@@ -79,7 +83,7 @@ def _shares(spark, sf_dir):
 def threshold_calibration(spark, sf_dir):
     """Thresholds on posteriors by the mean Jaccard of active and true sets (a label is true by one line of 25 or more); ties: the larger."""
     s = _shares(spark, sf_dir).withColumn("h1", F.round("h1", 9))
-    o = s.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("k", "h1", "most"))).alias("v"))
+    o = s.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("brand", "h1", "most"))).alias("v"))
     o = o.select("o", F.transform("v", lambda x: x["h1"]).alias("p"), F.filter(F.transform("v", lambda x, i: F.when(x["most"] >= 25, i).otherwise(-1)), lambda i: i >= 0).alias("truth"))
     o = o.select("*", F.explode(F.array(*(F.lit(t / 10.0) for t in range(1, 7)))).alias("threshold"))
     act = L.active(F.col("p"), F.col("threshold"))
@@ -95,11 +99,13 @@ def threshold_calibration(spark, sf_dir):
 def soft_relevance(spark, sf_dir):
     """Noisy-or relevance and soft Jaccard of each order with the next one."""
     s = _shares(spark, sf_dir)
-    n = s.agg(F.max("k").alias("n")).first()[0] or 0
-    o = s.groupBy("o").agg(F.map_from_entries(F.collect_list(F.struct("k", "h1"))).alias("m"))
-    o = o.select("o", F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("p"))
-    b = o.select((F.col("o") - 1).alias("o"), F.col("p").alias("q"))
-    return rounded(o.join(b, "o").select("o", L.soft_relevance(F.col("p"), F.col("q")).alias("relevance"), L.soft_jaccard(F.col("p"), F.col("q")).alias("soft_jaccard")))
+    o = s.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("brand", "h1"))).alias("m"))
+    # brands that neither order has add nothing, so that no posterior is filled up
+    b = o.select((F.col("o") - 1).alias("o"), F.col("m").alias("next"))
+    both = o.join(b, "o").withColumn("brands", F.array_sort(F.array_union("m.brand", "next.brand")))
+    share = lambda of: F.transform("brands", lambda x: F.coalesce(F.get(F.filter(of, lambda z: z["brand"] == x), F.lit(0))["h1"], F.lit(0.0)))
+    both = both.select("o", share("m").alias("p"), share("next").alias("q"))
+    return rounded(both.select("o", L.soft_relevance(F.col("p"), F.col("q")).alias("relevance"), L.soft_jaccard(F.col("p"), F.col("q")).alias("soft_jaccard")))
 
 
 @query(_POST + " SELECT count(*) AS cells, round(avg(abs(h1 - h2)), 8) AS mad_12, round(avg(abs(h1 - h3)), 8) AS mad_13, round(avg(abs(h2 - h3)), 8) AS mad_23, round(avg(sqrt(((h1 - (h1 + h2 + h3) / 3) ** 2 + (h2 - (h1 + h2 + h3) / 3) ** 2 + (h3 - (h1 + h2 + h3) / 3) ** 2) / 3)), 8) AS mean_std, avg(abs(h1 - h2)) > 0.01 AND avg(abs(h1 - h3)) > 0.01 AS diverse FROM s")
@@ -117,7 +123,8 @@ def head_summary(spark, sf_dir):
     """Mean, least and greatest over heads, and the heads in an order that does not depend on theirs; to 8 places, from 12."""
     h = F.array("h1", "h2", "h3")
     mean = F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / 3
-    return _shares(spark, sf_dir).select("o", "k", from_twelfth(mean).alias("mean"), from_twelfth(F.array_min(h)).alias("low"), from_twelfth(F.array_max(h)).alias("high"), F.array_sort(F.transform(h, lambda x: from_twelfth(x))).alias("evidence"))
+    s = _shares(spark, sf_dir).join(F.broadcast(_used(spark, sf_dir)), "brand")
+    return s.select("o", "k", from_twelfth(mean).alias("mean"), from_twelfth(F.array_min(h)).alias("low"), from_twelfth(F.array_max(h)).alias("high"), F.array_sort(F.transform(h, lambda x: from_twelfth(x))).alias("evidence"))
 
 
 _EACH = lambda form: ", ".join(form.format(i=i) for i in (1, 2, 3))
@@ -134,10 +141,10 @@ def relation_evidence(spark, sf_dir):
     """
     s = _shares(spark, sf_dir)
     heads = ("h1", "h2", "h3")
-    after = s.select((F.col("o") - 1).alias("o"), "k", *(F.col(h).alias(f"next_{h}") for h in heads))
+    after = s.select((F.col("o") - 1).alias("o"), "brand", *(F.col(h).alias(f"next_{h}") for h in heads))
     both = lambda h: F.col(h) * F.col(f"next_{h}")
     logs = (F.sum(F.log1p(-F.least(both(h), F.lit(1 - 1e-7)))).alias(f"log_{h}") for h in heads)
-    met = s.join(after, ["o", "k"]).groupBy("o").agg(*logs, *(F.sum(both(h)).alias(f"both_{h}") for h in heads))
+    met = s.join(after, ["o", "brand"]).groupBy("o").agg(*logs, *(F.sum(both(h)).alias(f"both_{h}") for h in heads))
     whole = s.groupBy("o").agg(*(F.sum(h).alias(f"a_{h}") for h in heads))
     other = whole.select((F.col("o") - 1).alias("o"), *(F.col(f"a_{h}").alias(f"b_{h}") for h in heads))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
