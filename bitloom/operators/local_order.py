@@ -7,11 +7,20 @@ maxima in each step replaces any table of pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+from .meeting import distance, meet
+from .similarity import first, half_up, vectors_of
+
 WINDOW, MOST = 128, 2048
 
 
@@ -39,11 +48,10 @@ def groups(low: np.ndarray, high: np.ndarray, relevance: np.ndarray, graded: np.
     of them the greatest by graded mean, least and spread, the same of relevance, then the sorted pairs of heads; equals share a group.
     """
     pairs = np.stack([relevance, graded], 2)
-    key = []
-    for p in pairs:
-        r, g = p[:, 0], p[:, 1]
-        evidence = tuple(x for pair in sorted(map(tuple, p)) for x in pair)
-        key.append((g.mean(), g.min(), g.min() - g.max(), r.mean(), r.min(), r.min() - r.max(), *evidence))
+    sides = [(x.mean(axis=1), x.min(axis=1), x.min(axis=1) - x.max(axis=1)) for x in (graded, relevance)]
+    key = [(*own, *(x for pair in sorted(map(tuple, p)) for x in pair)) for *own, p in zip(*sides[0], *sides[1], pairs.tolist())]
+    number_of = {k: i for i, k in enumerate(sorted(set(key)))}  # keys compare by number, once for all steps
+    order = np.array([number_of[k] for k in key], int)
     floor, top = relevance.min(axis=1), relevance.max(axis=1)
     out = np.full(len(low), -1)
     left = np.arange(len(low))
@@ -51,16 +59,54 @@ def groups(low: np.ndarray, high: np.ndarray, relevance: np.ndarray, graded: np.
     while len(left):
         front = left[high[left] >= low[left].max()]
         front = front[top[front] >= floor[front].max()]
-        best = max(key[i] for i in front)
-        out[[i for i in front if key[i] == best]] = number
+        out[front[order[front] == order[front].max()]] = number
         left = left[out[left] < 0]
         number += 1
     return out
 
 
-def decode(rows: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
+#: Parts of a vector whose cosines are heads: two of relevance, two of graded evidence.
+HEADS = {"r1": (0, 16), "r2": (16, 32), "g1": (0, 8), "g2": (8, 16)}
+
+
+def candidates(queries: DataFrame, gallery: DataFrame, most: int = MOST) -> DataFrame:
+    """(qid, did, r, r1, r2, g1, g2): of each block of the gallery the `most` + 1 rows of least 16-bit distance r, ties to the lesser id, and
+    their heads: (cosine + 1) / 2 of a part, to 2 places. Both: (id, code, v); rows without a code or a whole vector of 32 are left out."""
+    far = distance(16)
+
+    def each(g: pa.Table, q: pa.Table) -> Iterator[dict[str, Any]]:
+        (gv, gone), (qv, none) = vectors_of(g, "v", 32), vectors_of(q, "v", 32)
+        dids, codes = g["id"].to_numpy()[~gone], g["code"].to_numpy()[~gone].view(np.uint64)
+        gv = np.ascontiguousarray(gv[~gone].T)
+
+        def length(v: np.ndarray, a: int, b: int) -> np.ndarray:
+            total = np.zeros(v.shape[1:])
+            for i in range(a, b):
+                total = total + v[i] * v[i]
+            return np.maximum(np.sqrt(total), 1e-8)
+
+        lengths = {h: length(gv, *part) for h, part in HEADS.items()}
+        for id, own, v in zip(q["id"].to_numpy()[~none], q["code"].to_numpy()[~none].view(np.uint64), qv[~none]):
+            r = far(codes ^ own).astype(np.int64)
+            at = first(r, most + 1)
+            near = gv[:, at]
+            out: dict[str, Any] = {"qid": np.full(len(at), id), "did": dids[at], "r": r[at]}
+            for h, (a, b) in HEADS.items():
+                dot = np.zeros(len(at))
+                for i in range(a, b):
+                    dot += v[i] * near[i]
+                out[h] = half_up((dot / (length(v, a, b) * lengths[h][at]) + 1) / 2, 2)
+            yield out
+
+    some = [x.where("code is not null") for x in (queries, gallery)]
+    return meet(*some, each, "qid long, did long, r int, r1 double, r2 double, g1 double, g2 double", 256)
+
+
+def decode(rows: DataFrame, window: int = WINDOW, most: int = MOST, strict: bool = True) -> DataFrame:
     """(qid, did, tie_group) of the closed prefix of each query; rows: qid, did, score, low, high, relevance and graded (arrays).
 
+    A query whose prefix is not closed within `most` rows is an error, or, unless `strict`, gives one row without a did.
+
     Only the `most` + 1 best rows of a query, which a group limit keeps before the shuffle's sort, reach its task.
     """
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "did"))
@@ -69,9 +115,29 @@ def decode(rows: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
         score, low, high = (group[c].to_numpy(float) for c in ("score", "low", "high"))
-        n = closed_prefix(score, low, high, window, most)
+        try:
+            n = closed_prefix(score, low, high, window, most)
+        except ValueError:
+            if strict:
+                raise
+            return pd.DataFrame({"qid": group["qid"].iloc[:1], "did": pd.array([None], "Int64"), "tie_group": pd.array([None], "Int64")})
         group = group.iloc[:n]
         got = groups(low[:n], high[:n], np.stack(group["relevance"].to_list()), np.stack(group["graded"].to_list()))
         return pd.DataFrame({"qid": group["qid"], "did": group["did"], "tie_group": got})
 
     return rows.groupBy("qid").applyInPandas(one, "qid long, did long, tie_group long")
+
+
+def decode_all(queries: DataFrame, gallery: DataFrame, intervals: Callable[[DataFrame], DataFrame], window: int = WINDOW, most: int = MOST) -> DataFrame:
+    """`decode` of what `intervals` makes of `candidates`, however long prefixes are: queries whose prefix is not closed within `most` rows are
+    taken again, alone, with eight times as many, up to the whole gallery. Each round is checkpointed."""
+    total, left, done = gallery.count(), queries, []
+    if total <= most:
+        return decode(intervals(candidates(queries, gallery, most)), window)
+    while True:
+        got = settled(decode(intervals(candidates(left, gallery, most)), window, most, most >= total))
+        done.append(got.where("did is not null"))
+        again = got.where("did is null").select(F.col("qid").alias("id"))
+        if most >= total or again.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left, most = left.join(again, "id", "left_semi"), most * 8

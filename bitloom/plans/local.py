@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..operators import local_order, rank
+from ..operators import local_order
 from ..operators.subbag import subbag, threshold
-from ..sources.items import codes, items, with_split
+from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import query
 
@@ -19,14 +19,14 @@ def local_partial_order(spark, sf_dir):
     A score's interval has the spread of its heads as width, so that rows of different distances can overlap.
     """
     s = with_split(items(spark, sf_dir))
-    c = codes(s).where("bits = 16")
-    q = c.where("is_q and modality = 'image'").select(F.col("id").alias("qid"), F.col("code").alias("qcode"), F.col("image").alias("qv"))
-    d = c.where("is_d and modality = 'text'").select(F.col("id").alias("did"), F.col("code").alias("dcode"), F.col("text").alias("dv"))
-    head = lambda a, n: F.round((C.cosine(F.slice("qv", a, n), F.slice("dv", a, n)) + 1) / 2, 2)
-    rows = rank.against_all(q, d).withColumn("score", -C.hamming(F.col("qcode"), F.col("dcode")).cast("double"))
-    rows = rows.withColumns({"relevance": F.array(head(1, 16), head(17, 16)), "graded": F.array(head(1, 8), head(9, 8))})
-    spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
-    return local_order.decode(rows.select("qid", "did", "score", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"), "relevance", "graded"), 64)
+    side = lambda on, half: s.where(on).select("id", C.code(F.col(half), 16).alias("code"), F.col(half).alias("v"))
+
+    def intervals(found):
+        rows = found.select("qid", "did", (-F.col("r").cast("double")).alias("score"), F.array("r1", "r2").alias("relevance"), F.array("g1", "g2").alias("graded"))
+        spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
+        return rows.select("qid", "did", "score", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"), "relevance", "graded")
+
+    return local_order.decode_all(side("is_q", "image"), side("is_d", "text"), intervals, 64)
 
 
 @query(

@@ -79,3 +79,21 @@ def test_query_meets_intervals_and_equals_pairwise_definition(spark):
         want = plain_groups(*(g[c].to_numpy(float) for c in ("low", "high")), np.stack(g.relevance.to_list()), np.stack(g.graded.to_list()))
         assert [got[q, d] for d in g.did] == want
     assert isinstance(rows, pd.DataFrame) and some
+
+
+def test_prefixes_longer_than_the_bound_are_taken_again(spark):
+    """With a bound of 2 rows, then 16, and so on up to all, the rows are those of a bound that all meet."""
+    from pyspark.sql import functions as F
+
+    from bitloom.operators import local_order
+
+    rows = lambda at, n: spark.createDataFrame([(i, i * 37 % 11, [float((i * 7 + j * 5) % 9 - 4) for j in range(32)]) for i in range(at, at + n)], "id long, code long, v array<float>")
+    q, d = rows(0, 6), rows(100, 40)
+
+    def intervals(found):
+        found = found.select("qid", "did", (-F.col("r").cast("double")).alias("score"), F.array("r1", "r2").alias("relevance"), F.array("g1", "g2").alias("graded"))
+        spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
+        return found.select("*", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"))
+
+    whole = sorted(local_order.decode(intervals(local_order.candidates(q, d)), 3).collect())
+    assert sorted(local_order.decode_all(q, d, intervals, 3, 2).collect()) == whole and len(whole) > 6 * 3
