@@ -8,6 +8,7 @@ from ..functions import codes as C
 from ..functions import encoders
 from ..operators import moments, similarity
 from ..operators.quantile import quantiles
+from ..session import settled
 from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import ITEMS, query
@@ -131,7 +132,7 @@ def pruned_affinity(spark, sf_dir):
 def second_order_affinity(spark, sf_dir):
     """Cosines of queries' rows of similarities: for unit rows of vectors that is a product with the gallery's Gram matrix."""
     q, d = _images(spark, sf_dir)
-    both = similarity.through(q, similarity.gram_of(d, 32))
+    both = settled(similarity.through(q, similarity.gram_of(d, 32)))  # as long as queries and read four times
     a, b = both.select("id", F.col("y").alias("v"), "n"), both.select("id", F.col("x").alias("v"), "n")
     return similarity.upper(a, b, 32, 6).withColumnsRenamed({"qid": "a", "did": "b", "cosine": "second_order"})
 
