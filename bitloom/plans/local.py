@@ -11,6 +11,8 @@ from ..sources.items import items, with_split
 from ..sources.tables import table
 from .registry import query
 
+#: How far a score's interval reaches to each side, by the spread of its relevance.
+WIDEN = 0.8
 
 @query()
 def local_partial_order(spark, sf_dir):
@@ -23,10 +25,10 @@ def local_partial_order(spark, sf_dir):
 
     def intervals(found):
         rows = found.select("qid", "did", (-F.col("r").cast("double")).alias("score"), F.array("r1", "r2").alias("relevance"), F.array("g1", "g2").alias("graded"))
-        spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
+        spread = (F.array_max("relevance") - F.array_min("relevance")) * WIDEN
         return rows.select("qid", "did", "score", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"), "relevance", "graded")
 
-    return local_order.decode_all(side("is_q", "image"), side("is_d", "text"), intervals, 64)
+    return local_order.decode_all(side("is_q", "image"), side("is_d", "text"), intervals, 64, widen=WIDEN)
 
 
 @query(

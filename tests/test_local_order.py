@@ -97,3 +97,58 @@ def test_prefixes_longer_than_the_bound_are_taken_again(spark):
 
     whole = sorted(local_order.decode(intervals(local_order.candidates(q, d)), 3).collect())
     assert sorted(local_order.decode_all(q, d, intervals, 3, 2).collect()) == whole and len(whole) > 6 * 3
+
+
+def _sides(spark, codes, vectors, n):
+    rows = lambda at, m, of, v: spark.createDataFrame([(i, of(i - at), v(i - at)) for i in range(at, at + m)], "id long, code long, v array<float>")
+    return rows(0, n, lambda i: 0, lambda i: vectors(-1 - i)), rows(100, len(codes), lambda i: codes[i], vectors)
+
+
+def _intervals(found):
+    found = found.select("qid", "did", (-F.col("r").cast("double")).alias("score"), F.array("r1", "r2").alias("relevance"), F.array("g1", "g2").alias("graded"))
+    spread = (F.array_max("relevance") - F.array_min("relevance")) * 0.8
+    return found.select("*", (F.col("score") - spread).alias("low"), (F.col("score") + spread).alias("high"))
+
+
+def test_rows_beyond_the_bound_reach_into_a_prefix(spark):
+    """Of the second shell only the last row's interval meets the first shell's; a bound of 8 rows doesn't see it."""
+    whole, turned = [1.0] * 32, [1.0] * 16 + [-1.0] * 16
+    q, d = _sides(spark, [0] * 3 + [1] * 37, lambda i: turned if i in (0, 39) else whole, 2)
+    want = sorted(local_order.decode(_intervals(local_order.candidates(q, d)), 3).collect())
+    assert len(want) == 2 * 40
+    assert sorted(local_order.decode_all(q, d, _intervals, 3, 8).collect()) == want
+    assert sorted(local_order.decode_all(q, d, _intervals, 3, 8, 0.8).collect()) == want
+    assert sorted(local_order.decode_whole(q, d, 0.8, 3).collect()) == want
+    with pytest.raises(Exception, match="may reach"):
+        local_order.decode(_intervals(local_order.candidates(q, d, 8)), 3, 8, reach=0.8).collect()
+
+
+def test_whole_galleries_give_the_rows_of_all_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = [int(x) for x in rng.integers(0, 1 << 16, 90) & rng.integers(0, 1 << 16, 90)]
+    q, d = _sides(spark, codes, lambda i: None if i == 7 else [float(x) for x in np.random.default_rng(i + 50).integers(-3, 4, 32)], 9)
+    want = sorted(local_order.decode(_intervals(local_order.candidates(q, d)), 5).collect())
+    assert sorted(local_order.decode_whole(q, d, 0.8, 5).collect()) == want and len(want) > 9 * 5
+    assert sorted(local_order.decode_all(q, d, _intervals, 5, 20, 0.8).collect()) == want
+    monkeypatch.setattr(local_order, "WHOLE_ROWS", 10)  # rounds of growing candidates
+    assert sorted(local_order.decode_all(q, d, _intervals, 5, 20, 0.8).collect()) == want
+
+
+def test_groups_of_long_prefixes_in_few_steps():
+    """20,000 rows of 17 shells: a look at all remaining rows for each group took over two seconds."""
+    rng = np.random.default_rng(1)
+    r = np.minimum(16, rng.binomial(16, 0.5, 20_000)).astype(float)
+    draw = lambda sd: np.round(np.clip(rng.normal(0.5, sd, len(r)), 0, 1), 2)
+    graded = np.stack([draw(0.18), draw(0.18)], 1)
+    rel = np.round(np.stack([graded.mean(axis=1), draw(0.125)], 1), 2)
+    half = np.abs(rel[:, 0] - rel[:, 1]) * 0.8
+    low, high = -r - half, -r + half
+    got = local_order.groups(low, high, rel, graded)
+    left = np.ones(len(r), bool)
+    for number in range(40):  # the first steps one at a time
+        front = left & (high >= low[left].max())
+        front &= rel.max(axis=1) >= rel[front].min(axis=1).max()
+        best = local_order.numbered(rel[front], graded[front])
+        taken = np.flatnonzero(front)[best == best.max()]
+        assert (got[taken] == number).all() and (got == number).sum() == len(taken)
+        left[taken] = False
